@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marginalia.llm import langid, mixing, topk
+from marginalia.llm import langid, mixing, packing, topk
 from marginalia.tables import table
 
 QUERIES = {
     "op1_langid": lambda spark, d: langid.op1_langid(table(spark, d, "documents")),
     "op2_topk": lambda spark, d: topk.op2_topk(table(spark, d, "embeddings")),
     "op4_mixing": lambda spark, d: mixing.op4_mixing(table(spark, d, "documents")),
+    "op5_packing": lambda spark, d: packing.op5_packing(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
