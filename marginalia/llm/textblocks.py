@@ -83,7 +83,8 @@ class Words:
     row: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    prefix: Prefix | None = None
+    #: Per requested length, the hash of the word's first bytes, 0 for a word that is no longer.
+    heads: tuple[np.ndarray, ...] = ()
 
 
 def text_array(column) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +112,7 @@ def blocks(column, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np
         lo = hi
 
 
-def _scan(lowered: np.ndarray, offsets: np.ndarray, sep: np.ndarray, keep_prefix: bool) -> Words:
+def _scan(lowered: np.ndarray, offsets: np.ndarray, sep: np.ndarray, heads: tuple[int, ...]) -> Words:
     inside = ~sep[lowered]
     n = len(lowered)
     first = np.zeros(n + 1, dtype=bool)
@@ -129,18 +130,19 @@ def _scan(lowered: np.ndarray, offsets: np.ndarray, sep: np.ndarray, keep_prefix
     end = np.flatnonzero(inside & after) + 1
     row = np.searchsorted(offsets[1:], start, side="right")
     p = Prefix(lowered)
-    return Words(p.hash(start, end), row, start, end, p if keep_prefix else None)
+    first_bytes = tuple(np.where(end - start > k, p.hash(start, np.minimum(end, start + k)), U64(0)) for k in heads)
+    return Words(p.hash(start, end), row, start, end, first_bytes)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE, keep_prefix: bool = False) -> Words:
+def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE, heads: tuple[int, ...] = ()) -> Words:
     """Lower-cased (A-Z) words of a block, in order.
 
     A text longer than four blocks is scanned in pieces cut at separators, so
     its temporaries stay small; only its word hashes and places are kept.
     """
     lowered = LOWER[raw]
-    if len(raw) <= 4 * BLOCK or len(offsets) > 2 or keep_prefix:
-        return _scan(lowered, offsets, sep, keep_prefix)
+    if len(raw) <= 4 * BLOCK or len(offsets) > 2:
+        return _scan(lowered, offsets, sep, heads)
     parts, at = [], 0
     while at < len(raw):
         cut = min(at + 4 * BLOCK, len(raw))
@@ -150,11 +152,11 @@ def words(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE, keep_pr
                 cut = at + int(gaps[-1]) + 1
                 break
             cut = min(cut + 4 * BLOCK, len(raw))
-        w = _scan(lowered[at:cut], np.array([0, cut - at]), sep, False)
-        parts.append((w.hashes, w.start + at, w.end + at))
+        w = _scan(lowered[at:cut], np.array([0, cut - at]), sep, heads)
+        parts.append((w.hashes, w.start + at, w.end + at, *w.heads))
         at = cut
-    hashes, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return Words(hashes, np.zeros(len(hashes), dtype=np.int64), start, end)
+    hashes, start, end, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Words(hashes, np.zeros(len(hashes), dtype=np.int64), start, end, tuple(rest))
 
 
 _SHINGLE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
