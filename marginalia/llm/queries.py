@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import langid, mixing, packing, quality, topk
+from marginalia.llm import langid, mixing, packing, quality, topk, toxicity
 from marginalia.tables import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_topk": lambda spark, d: topk.op2_topk(table(spark, d, "embeddings")),
     "op4_mixing": lambda spark, d: mixing.op4_mixing(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.op5_packing(table(spark, d, "documents")),
+    "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_quality": lambda spark, d: quality.op6_quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
