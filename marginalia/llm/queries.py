@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marginalia.llm import langid, mixing, packing, quality, topk, toxicity
+from marginalia.llm import langid, mixing, neardedup, packing, quality, topk, toxicity
 from marginalia.tables import table
 
 QUERIES = {
     "op1_langid": lambda spark, d: langid.op1_langid(table(spark, d, "documents")),
     "op2_topk": lambda spark, d: topk.op2_topk(table(spark, d, "embeddings")),
+    "op3_neardedup": lambda spark, d: neardedup.op3_neardedup(table(spark, d, "documents")),
     "op4_mixing": lambda spark, d: mixing.op4_mixing(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.op5_packing(table(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
