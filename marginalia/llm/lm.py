@@ -8,6 +8,11 @@ unseen words have one too; a text is its words and an end:
 
     P(w) = (max(c - d, 0) + d * V * L(w)) / N,   P(end) = documents / N
 
+Where training texts name their language, each of the commonest languages has a
+model of its own that discounts towards P in the same way, and a text's
+probability is marginal over them too: the sum over models of their share times
+the text's probability under each.  The language of a text is not read to score it.
+
 Words are counted once for all texts; a bounded table of the most frequent is
 given to every task, the rest are looked up by a join on the word.
 """
@@ -28,6 +33,8 @@ from marginalia.scratch import materialize
 
 #: Words of the table that every task holds (24 bytes each).
 HEAD = 1 << 18
+#: Languages with a model of their own.
+CLASSES = 6
 
 
 def _gather(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -38,27 +45,33 @@ def _gather(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw[index])])
 
 
-def word_counts(docs: DataFrame, train: Column) -> DataFrame:
-    """h, word, n (in all texts), c (in training texts) of every distinct word, lower-cased."""
-    schema = pa.schema([("h", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("c", pa.int64())])
+def word_counts(docs: DataFrame, train: Column, classes: list[str]) -> DataFrame:
+    """h, word, n (in all texts), c (in training texts), c1.. (in those of each class) of every distinct word, lower-cased."""
+    names = ["n", "c", *[f"c{k + 1}" for k in range(len(classes))]]
+    schema = pa.schema([("h", pa.int64()), ("word", pa.binary()), *[(x, pa.int64()) for x in names]])
+    kind = F.lit(-1)
+    for k, value in enumerate(classes):
+        kind = F.when(F.col("lang") == value, k).otherwise(kind)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             learn = batch.column(1).to_numpy(zero_copy_only=False)
+            which = batch.column(2).to_numpy()
             for lo, _, raw, offsets in blocks(batch.column(0), 8 << 20):
                 w = words(raw, offsets)
                 if not len(w.hashes):
                     continue
                 order = np.argsort(w.hashes)
-                h = w.hashes[order]
+                h, row = w.hashes[order], lo + w.row[order]
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                seen = np.add.reduceat(learn[lo + w.row[order]].astype(np.int64), first)
                 n = np.diff(np.append(first, len(h)))
+                seen, of = learn[row], which[row]
+                each = [np.add.reduceat(x.astype(np.int64), first) for x in (seen, *[seen & (of == k) for k in range(len(classes))])]
                 at = order[first]
-                yield record_batch(schema, [h[first].astype(np.int64), _gather(LOWER[raw], w.start[at], w.end[at]), n, seen])
+                yield record_batch(schema, [h[first].astype(np.int64), _gather(LOWER[raw], w.start[at], w.end[at]), n, *each])
 
-    made = docs.select("text", train.alias("train")).mapInArrow(count, "h long, word binary, n long, c long")
-    return made.groupBy("h", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    made = docs.select("text", train.alias("train"), kind.cast("int").alias("kind")).mapInArrow(count, "h long, word binary, " + ", ".join(f"{x} long" for x in names))
+    return made.groupBy("h", "word").agg(*[F.sum(x).alias(x) for x in names])
 
 
 def _spelled(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,9 +83,13 @@ def _spelled(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def learn(types: DataFrame, pieces: Pieces, rounds: int = 2) -> Lattice:
-    """Expectation-maximisation over all training words; a number a piece comes to the driver."""
+    """Expectation-maximisation over all distinct training words; a number a piece comes to the driver.
+
+    A word counts once, however often it occurs: the spelling speaks for words
+    that have no count, and those are like the rare ones.
+    """
     lattice = Lattice.initial(pieces)
-    seen = types.filter(F.col("c") > 0).select("word", "c")
+    seen = types.filter(F.col("c") > 0).select("word")
     n_start, n_cont = len(pieces.start) + 1, len(pieces.cont)
     schema = pa.schema([("k", pa.int32()), ("v", pa.float64())])
     for _ in range(rounds):
@@ -80,7 +97,7 @@ def learn(types: DataFrame, pieces: Pieces, rounds: int = 2) -> Lattice:
         def expect(batches: Iterator[pa.RecordBatch], model: Lattice = lattice) -> Iterator[pa.RecordBatch]:
             total = np.zeros(n_start + n_cont + 1)
             for batch in batches:
-                start, cont, w = model.expected(*_spelled(batch.column(0)), batch.column(1).to_numpy().astype(np.float64))
+                start, cont, w = model.expected(*_spelled(batch.column(0)), np.ones(batch.num_rows))
                 total += np.concatenate([start, cont, [w]])
             some = np.flatnonzero(total)
             yield record_batch(schema, [some.astype(np.int32), total[some]])
@@ -92,6 +109,15 @@ def learn(types: DataFrame, pieces: Pieces, rounds: int = 2) -> Lattice:
     return lattice
 
 
+def discounted(c: np.ndarray, cut: float, kinds: int, total: int, lower: np.ndarray) -> np.ndarray:
+    """log10 of (max(c - cut, 0) + cut * kinds * 10**lower) / total; half of ``lower`` where nothing was counted."""
+    if not kinds:
+        return lower + np.log10(0.5)
+    free = lower + np.log10(cut * kinds / total)
+    known = np.log10(np.maximum(c - cut, 1e-300) / total)
+    return np.where(c > 0, np.logaddexp(known * np.log(10), free * np.log(10)) / np.log(10), free)
+
+
 def score(docs: DataFrame, train: Column, id_column: str = "doc_id", vocabulary_file: str | None = None) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row; log10 throughout.
 
@@ -101,28 +127,35 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", vocabulary_
     """
     require(docs, id_column, "text")
     pieces = Pieces.load(vocabulary_file)
-    types = materialize(word_counts(docs, train), "lm-words")
-    ends = docs.filter(train).count()
-    facts = types.agg(
-        F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")
-    ).first()
-    kinds = int(facts["v"] or 0)
-    total = int(facts["c"] or 0) + ends
-    distinct = kinds + (ends > 0)
-    cut = float(np.clip(facts["one"] / max(facts["one"] + 2 * facts["two"], 1), 0.1, 0.95)) if kinds else 0.5
+    texts = {None: docs.filter(train).count()}
+    if "lang" in docs.columns:
+        common = docs.filter(train & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "lang").limit(CLASSES).collect()
+        texts |= {r["lang"]: r["k"] for r in common}
+    classes, ends = [x for x in texts if x is not None], [*texts.values()]
+    columns = ["c", *[f"c{k + 1}" for k in range(len(classes))]]
+    types = materialize(word_counts(docs, train, classes), "lm-words")
+    sums = [
+        x
+        for c in columns
+        for x in (F.sum(c).alias(f"{c}_n"), F.count_if(F.col(c) > 0).alias(f"{c}_v"), F.count_if(F.col(c) == 1).alias(f"{c}_1"), F.count_if(F.col(c) == 2).alias(f"{c}_2"))
+    ]
+    facts = types.agg(*sums).first()
+    kinds = [int(facts[f"{c}_v"] or 0) for c in columns]
+    totals = [int(facts[f"{c}_n"] or 0) + e for c, e in zip(columns, ends, strict=True)]
+    cuts = [float(np.clip(facts[f"{c}_1"] / max(facts[f"{c}_1"] + 2 * facts[f"{c}_2"], 1), 0.1, 0.95)) for c in columns]
     lattice = learn(types, pieces)
-    base = float(total + distinct + 1)
-    fields = "h long, n long, c long, base double, score double"
-    value_schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    total = totals[0]
+    base = float(total + kinds[0] + (ends[0] > 0) + 1)
+    names = [f"s{k}" for k in range(len(columns))]
+    fields = ", ".join(["h long, n long, c long, base double", *[f"{x} double" for x in names]])
+    value_schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("base", pa.float64()), *[(x, pa.float64()) for x in names]])
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spelling = lattice.log10(*_spelled(batch.column("word")))
-            c = batch.column("c").to_numpy().astype(np.float64)
-            known = np.log10(np.maximum(np.maximum(c - cut, 0) / max(total, 1), 1e-300))
-            free = spelling + (np.log10(cut * kinds / total) if kinds else np.log10(0.5))
-            both = np.where(c > 0, np.logaddexp(known * np.log(10), free * np.log(10)) / np.log(10), free)
-            yield record_batch(value_schema, [batch.column("h"), batch.column("n"), batch.column("c"), np.log10((c + 1) / base), both])
+            c = [batch.column(x).to_numpy().astype(np.float64) for x in columns]
+            every = discounted(c[0], cuts[0], kinds[0], total, lattice.log10(*_spelled(batch.column("word"))))
+            own = [discounted(x, *facts_of, every) for x, *facts_of in zip(c[1:], cuts[1:], kinds[1:], totals[1:], strict=True)]
+            yield record_batch(value_schema, [batch.column("h"), batch.column("n"), batch.column("c"), np.log10((c[0] + 1) / base), every, *own])
 
     valued = materialize(types.mapInArrow(value, fields), "lm-values")
     level = F.floor(F.log2("n"))
@@ -132,16 +165,16 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", vocabulary_
         if held + k > HEAD:
             break
         least, held = 1 << int(at), held + k
-    frequent = valued.filter(F.col("n") >= least).select("h", "c", "base", "score").toPandas()  # HEAD rows at most
+    frequent = valued.filter(F.col("n") >= least).select("h", "c", "base", *names).toPandas()  # HEAD rows at most
+    added = ["base", *names]
     shared = docs.sparkSession.sparkContext.broadcast(
-        (frequent["h"].to_numpy(np.int64).astype(np.uint64), (frequent["c"] > 0).to_numpy(), frequent["base"].to_numpy(), frequent["score"].to_numpy())
+        (frequent["h"].to_numpy(np.int64).astype(np.uint64), (frequent["c"] > 0).to_numpy(), [frequent[x].to_numpy() for x in added])
     )
-    end_base = float(np.log10((ends + 1) / base))
-    end_score = float(np.log10(ends / total)) if ends else float(np.log10(0.5))
-    part_schema = pa.schema([("rid", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    end = [float(np.log10((ends[0] + 1) / base)), *[float(np.log10(e / n)) if e else float(np.log10(0.5)) for e, n in zip(ends, totals, strict=True)]]
+    part_schema = pa.schema([("rid", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), *[(x, pa.float64()) for x in added]])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, is_known, its_base, its_score = shared.value
+        keys, is_known, values = shared.value
         head = HashTable(keys, 20)
         for batch in batches:
             rid = batch.column(0).to_numpy()
@@ -151,33 +184,40 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", vocabulary_
                 at = head.find(w.hashes)
                 hit = at >= 0
                 row, place = w.row[hit], at[hit]
-                known = np.bincount(row, is_known[place], minlength=m) + (ends > 0)
-                sums = [np.bincount(row, x[place], minlength=m) + e for x, e in ((its_base, end_base), (its_score, end_score))]
+                known = np.bincount(row, is_known[place], minlength=m) + (ends[0] > 0)
+                sums = [np.bincount(row, x[place], minlength=m) + e for x, e in zip(values, end, strict=True)]
                 tokens = np.bincount(w.row, minlength=m) + 1
                 own = rid[lo:hi]
                 yield record_batch(part_schema, [own, pa.nulls(m, pa.int64()), tokens, known.astype(np.int64), *sums])
                 rest = np.flatnonzero(~hit)
                 if len(rest):
-                    zeros = np.zeros(len(rest))
-                    yield record_batch(part_schema, [own[w.row[rest]], w.hashes[rest].astype(np.int64), np.ones(len(rest), np.int64), zeros.astype(np.int64), zeros, zeros])
+                    none = pa.nulls(len(rest), pa.float64())
+                    yield record_batch(part_schema, [own[w.row[rest]], w.hashes[rest].astype(np.int64), np.ones(len(rest), np.int64), np.zeros(len(rest), np.int64), *[none] * len(added)])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column), "text")
-    made = materialize(rows.select("rid", "text").mapInArrow(parts, "rid long, h long, n long, known long, base double, score double"), "lm-parts")
-    tail = made.filter(F.col("h").isNotNull()).groupBy("rid", "h").agg(F.sum("n").alias("n"))
-    looked = tail.join(valued.filter(F.col("n") < least).select("h", F.col("c"), F.col("base").alias("b"), F.col("score").alias("s")), "h")
+    part_fields = "rid long, h long, n long, known long, " + ", ".join(f"{x} double" for x in added)
+    made = materialize(rows.select("rid", "text").mapInArrow(parts, part_fields), "lm-parts")
+    tail = made.filter(F.col("h").isNotNull()).select("rid", "h", "n")
+    looked = tail.withColumnRenamed("n", "times").join(valued.filter(F.col("n") < least).drop("n"), "h")
     more = looked.groupBy("rid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_more"), F.sum(F.col("n") * F.col("b")).alias("base_more"), F.sum(F.col("n") * F.col("s")).alias("score_more")
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known_more"), *[F.sum(F.col("times") * F.col(x)).alias(f"{x}_more") for x in added]
     )
-    named = rows.select("rid", id_column)
-    whole = made.filter(F.col("h").isNull()).drop("h").join(more, "rid", "left").join(named, "rid")
-    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0)))
-    return whole.select(
+    whole = made.filter(F.col("h").isNull()).drop("h").join(more, "rid", "left").join(rows.select("rid", id_column), "rid")
+    plus = lambda x: F.col(x) + F.coalesce(F.col(f"{x}_more"), F.lit(0))
+    # Shares of the models: those of the training texts; what no class has goes to the model of all.
+    rest = max(ends[0] - sum(ends[1:]), 1)
+    shares = [rest / (rest + sum(ends[1:])), *[e / (rest + sum(ends[1:])) for e in ends[1:]]]
+    logs = [plus(x) + F.lit(float(np.log10(p))) for x, p in zip(names, shares, strict=True)]
+    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
+    marginal = F.col("top") + F.log10(sum((F.pow(F.lit(10.0), F.col(f"l{k}") - F.col("top")) for k in range(1, len(logs))), F.pow(F.lit(10.0), F.col("l0") - F.col("top"))))
+    named = whole.withColumns({f"l{k}": x for k, x in enumerate(logs)} | {"top": top})
+    return named.select(
         id_column,
         F.col("n").alias("n_tokens"),
-        plus("known", "known_more").alias("n_known"),
+        plus("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        plus("base", "base_more").alias("base_score"),
-        plus("score", "score_more").alias("score"),
+        plus("base").alias("base_score"),
+        marginal.alias("score"),
     )
 
 
