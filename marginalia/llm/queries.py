@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm import covertree, langid, lm, mixing, neardedup, packing, quality, topk, toxicity
+from marginalia.llm import covertree, htmltext, langid, lm, mixing, neardedup, packing, quality, topk, toxicity
 from marginalia.tables import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_neardedup": lambda spark, d: neardedup.op3_neardedup(table(spark, d, "documents")),
     "op4_mixing": lambda spark, d: mixing.op4_mixing(table(spark, d, "documents")),
     "op5_packing": lambda spark, d: packing.op5_packing(table(spark, d, "documents")),
+    "op7_htmltext": lambda spark, d: htmltext.op7_htmltext(table(spark, d, "pages")),
     "op8_lm": lambda spark, d: lm.op8_lm(table(spark, d, "documents")),
     "op9_covertree": lambda spark, d: covertree.op9_covertree(table(spark, d, "embeddings")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
