@@ -62,9 +62,11 @@ def cover(x: np.ndarray, members: np.ndarray, center: int, reach: float) -> Node
         return node
     own = x[members].astype(np.float32)
     near = (own @ own.T) >= 1 - half * half / 2
-    free = np.ones(len(members), dtype=bool)
+    free = near.sum(axis=1) > 1  # the others are nodes of their own
+    node.children = [Node(int(members[k]), 0.0, members[k : k + 1], []) for k in np.flatnonzero(~free)]
     first = int(np.flatnonzero(members == center)[0])
-    order = [first, *[k for k in range(len(members)) if k != first]]  # the centre is a centre below too
+    rest = np.flatnonzero(free)
+    order = [first, *rest[rest != first].tolist()]  # the centre is a centre below too
     for k in order:
         if free[k]:
             took = np.flatnonzero(near[k] & free)
