@@ -57,7 +57,7 @@ def word_counts(docs: DataFrame, train: Column, classes: list[str]) -> DataFrame
         for batch in batches:
             learn = batch.column(1).to_numpy(zero_copy_only=False)
             which = batch.column(2).to_numpy()
-            for lo, _, raw, offsets in blocks(batch.column(0), 8 << 20):
+            for lo, _, raw, offsets in blocks(batch.column(0), 3 << 20):
                 w = words(raw, offsets)
                 if not len(w.hashes):
                     continue
