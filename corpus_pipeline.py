@@ -10,25 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import langid, mixing, neardedup, packing, quality
-from marginalia.llm.columns import held_out
+from marginalia.llm.columns import held_out, small_batches
 from marginalia.scratch import materialize
 from marginalia.tables import table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.7 or more, learned from labels of the rows not held out."""
+    small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
     return quality.score(docs, model).filter(F.col("score") >= 0.7).select(*docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language that can be told: ``und`` goes."""
+    small_batches(spark)
     model = langid.fit(docs, ~held_out(F.col("doc_id"), 3, 1))
     return langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the least id; repeated rows of one id are one document."""
+    small_batches(spark)
     found = materialize(neardedup.near_duplicates(docs), "kept-copies")
     ids = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
     repeated = not ids.filter(F.col("rows") > 1).isEmpty()
@@ -44,11 +47,13 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by source, each document as often as it is taken."""
+    small_batches(spark)
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens over the mix."""
+    small_batches(spark)
     return packing.op5_packing(docs)
 
 

@@ -42,3 +42,13 @@ def require(df: DataFrame, *names: str) -> None:
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` with more fields behind it, given as DDL."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def small_batches(spark) -> None:
+    """Send whole texts to Python in batches of 1000 rows where the session has Spark's default of 10000.
+
+    A batch of texts is held in the JVM and in the worker at once.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")

@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 from marginalia.llm import covertree, htmltext, langid, lm, mixing, neardedup, packing, quality, topk, toxicity
-from marginalia.tables import table
+from marginalia.llm.columns import small_batches
+from marginalia.tables import table as plain_table
+
+
+def table(spark, sf_dir, name):
+    small_batches(spark)
+    return plain_table(spark, sf_dir, name)
+
 
 QUERIES = {
     "op1_langid": lambda spark, d: langid.op1_langid(table(spark, d, "documents")),
