@@ -1,0 +1,219 @@
+"""The ten operators and the pipeline: contracts, odd rows, brute force."""
+
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.llm import covertree, htmltext, langid, lm, mixing, neardedup, packing, quality, topk, toxicity
+from marginalia.llm.queries import ORACLES, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+needs = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, node string, id string"
+
+
+def lowered(s):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), s or "")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, columns that clash."""
+    base = "the quick brown fox jumps over the lazy dog and runs away from here again"
+    long = " ".join(f"word{k % 997}" for k in range(60_000))
+    rows = [(1, base), (2, base + " now"), (3, base), (3, base), (4, None), (5, ""), (6, " \t\n"), (7, "one"), (8, "ONE"), (9, long), (10, "12 34 !!"), (11, "ſ é 😀 x"), (None, base + " now then")]
+    full = [(i, t, "en" if k % 2 else None, None if k % 3 == 0 else f"s{k % 3}", None if t is None else len(t), "x", None, "n", "i") for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(full, COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(1, 12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+def empty(df):
+    return df.limit(0)
+
+
+def test_langid_odd_rows(spark, odd):
+    got = {r["doc_id"]: r for r in langid.op1_langid(odd).collect()}
+    assert langid.op1_langid(odd).count() == odd.count()
+    assert all(got[k]["lang_pred"] == "und" for k in (4, 5, 6, 10)) and all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.op1_langid(empty(odd)).count() == 0
+
+
+def test_quality_and_toxicity_odd_rows(odd, labels):
+    for op in (quality.op6_quality, toxicity.op10_toxicity):
+        rows = op(odd, labels).collect()
+        assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+        assert op(empty(odd), labels).count() == 0 and op(odd, empty(labels)).count() == odd.count()
+
+
+def test_topk_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [0.2, None]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [-1.0, 0.001]), (50, [0.5, 0.5]), (None, [1.0, 1.0]), (7, []), (8, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op2_topk(df).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 81920), (0, 2, 50, 49152), (0, 3, 6, -65536), (50, 1, 0, 49152), (50, 2, 1, 49152), (50, 3, 6, -32768)]
+    assert topk.op2_topk(empty(df)).count() == 0
+
+
+def brute_components(docs, width, percent):
+    sets = []
+    for i, t in docs:
+        w = WORD.findall(lowered(t))
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
+    up = list(range(len(docs)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return Counter((i, len(sets[k]), least.get(root(k))) for k, (i, _) in enumerate(docs))
+
+
+def test_neardedup_odd_rows(odd):
+    got = neardedup.op3_neardedup(odd).collect()
+    docs = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(docs, 4, 80)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"] if r["doc_id"] is not None else False) for r in got)
+    assert neardedup.op3_neardedup(empty(odd)).count() == 0
+
+
+@needs
+def test_neardedup_equals_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    more = [(100_000 + k, " ".join(w for n, w in enumerate((docs[k % 40][1] or "").split()) if (n + k) % 37)) for k in range(120)]
+    df = spark.createDataFrame(docs + more, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardedup.op3_neardedup(df).collect())
+    assert got == brute_components(docs + more, 4, 80)
+
+
+def test_mixing_targets_and_odd_rows(spark, odd):
+    rows = mixing.op4_mixing(odd).collect()
+    assert len(rows) == odd.count() and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    assert rows == mixing.op4_mixing(odd.repartition(3)).collect() or sorted(map(str, rows)) == sorted(map(str, mixing.op4_mixing(odd.repartition(3)).collect()))
+    assert mixing.op4_mixing(empty(odd)).count() == 0
+    assert mixing.take(odd).columns == odd.columns
+    sizes = [("a", 10), ("b", 1000), ("c", 40), (None, 7)]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long"), [5, 2, 1], 3).collect()}
+    # Shared again and again by weight, as the contract words it.
+    weight, want, total = {"a": 5, "b": 2, "c": 1, None: 5}, {}, 1057.0
+    held = dict(sizes)
+    while len(want) < 4:
+        free = [s for s in held if s not in want]
+        level = (total - sum(want.values())) / sum(weight[s] for s in free)
+        over = [s for s in free if weight[s] * level > 3 * held[s]]
+        want |= {s: 3.0 * held[s] for s in over} if over else {s: weight[s] * level for s in free}
+    assert got == pytest.approx(want)
+
+
+def test_packing_odd_rows(odd):
+    rows = packing.op5_packing(odd.repartition(3)).collect()
+    fill = {}
+    for r in rows:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in fill.values():
+        own.sort()
+        at = 0
+        for offset, length in own:
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0)[3] == 2 and sum(r["doc_id"] == 4 for r in rows) == 1
+    assert all(r["length"] == 1024 for r in rows if r["piece"] > 0)
+    assert packing.op5_packing(empty(odd)).count() == 0
+
+
+def test_pack_carries_ids(odd):
+    rows = packing.pack(odd.filter("doc_id = 9"), capacity=64, with_ids=True).orderBy("piece").collect()
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in rows)
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "http://a/x", None), (2, None, "<p>hello <b>there"), (3, "http://a/x", ""), (4, "//a/y", "<article>k &amp; l</article>")]
+    rows += [(10 + k, "http://h/", f"<div>Same old menu</div><div>page {k} says {k}</div><div>{'same tail'}</div>") for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in htmltext.op7_htmltext(df).collect()}
+    assert got[1] == ("", 0) and got[3] == ("", 0) and got[2] == ("hello there", 11) and got[4] == ("k & l", 5)
+    assert got[12] == ("page 2 says 2", 13)
+    assert htmltext.op7_htmltext(empty(df)).count() == 0
+
+
+def test_lm_base_equals_brute_force(odd):
+    rows = odd.collect()
+    tokens = [[*WORD.findall(lowered(r["text"])), None] for r in rows]
+    out = [r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows]
+    counts = Counter(t for w, o in zip(tokens, out) if not o for t in w)
+    n, v = sum(counts.values()), len(counts)
+    want = Counter((r["doc_id"], len(w), sum(counts[t] > 0 for t in w), n, round(sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in w), 6)) for r, w in zip(rows, tokens))
+    got = lm.op8_lm(odd).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert lm.op8_lm(empty(odd)).count() == 0
+
+
+def test_lm_without_training_rows(odd):
+    rows = lm.score(odd, F.lit(False)).collect()
+    assert len(rows) == odd.count() and all(r["n_known"] == 0 and np.isfinite(r["score"]) for r in rows)
+
+
+def test_covertree_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [0.0, 1.0]), (8, [1.0, 0.0]), (9, [1.0]), (10, [1.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in covertree.op9_covertree(df).collect()}
+    assert got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[8] == (3, 1, False)
+    assert all(got[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 9)) and got[None][0] == 0
+    assert covertree.op9_covertree(empty(df)).count() == 0
+
+
+@needs
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    rows = lambda f: sorted(map(repr, f[sorted(f.columns)].astype(object).where(f.notna(), None).values.tolist()))
+    assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(con.execute(ORACLES[name]).df())
+
+
+@needs
+@pytest.mark.parametrize("name, column, label, least", [("op1_langid", "lang_pred", "lang", 0.95), ("op6_quality", "predicted", "quality", 0.95), ("op10_toxicity", "predicted", "toxic", 0.85)])
+def test_held_out_accuracy(spark, name, column, label, least):
+    folder = DATA.replace("0.001", "0.01")
+    truth = spark.read.parquet(f"{folder}/{'documents' if label == 'lang' else 'labels'}.parquet").select("doc_id", label)
+    got = QUERIES[name](spark, folder).filter("held_out").join(truth, "doc_id")
+    assert got.agg(F.avg((F.col(column) == F.col(label)).cast("double"))).first()[0] >= least
+
+
+@needs
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    seen = docs
+    for _, stage in P.STAGES[:-1]:
+        seen = P.materialize(stage(spark, seen, DATA), "test")
+        assert seen.columns == docs.columns
+    packed = P.STAGES[-1][1](spark, seen, DATA).toPandas()
+    assert packed[packed.piece == 0].groupby("doc_id").size().to_dict() == {r["doc_id"]: r["count"] for r in seen.groupBy("doc_id").count().collect()}
+    kept = P.keep_first_copies(spark, docs, DATA)
+    every = neardedup.near_duplicates(docs)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in every.filter("kept").collect()}
