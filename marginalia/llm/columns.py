@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,19 @@ def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     )
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches: joined until there are ``rows`` of them or ``size`` bytes."""
+    held, n, b = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, b = n + batch.num_rows, b + batch.nbytes
+        if n >= rows or b >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, b = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def require(df: DataFrame, *names: str) -> None:
     """Fail early, and by name, where a needed column is absent."""
     missing = [n for n in names if n not in df.columns]

@@ -157,7 +157,8 @@ class Lattice:
             for k, ids in conts.items():
                 if k <= t:
                     own = ids[:, t - k]
-                    terms.append(np.where(own >= 0, self.log_cont[own], NEVER) + (self.log_go + alpha[:, t - k]))
+                    if (own >= 0).any():
+                        terms.append(np.where(own >= 0, self.log_cont[own], NEVER) + (self.log_go + alpha[:, t - k]))
             stacked = np.stack(terms)
             top = stacked.max(axis=0)
             alpha[:, t] = top + np.log(np.exp(stacked - top).sum(axis=0))
@@ -194,15 +195,20 @@ class Lattice:
             beta = np.full((len(own), n + 1), NEVER)
             beta[:, n] = 0
             for t in range(n - 1, -1, -1):
-                terms = []
+                terms, used, shares = [], [], []
                 for k, ids in conts.items():
                     if t + k <= n:
-                        own_ids = ids[:, t]
-                        arc = np.where(own_ids >= 0, self.log_cont[own_ids], NEVER) + (self.log_go + beta[:, t + k])
+                        hit = np.flatnonzero(ids[:, t] >= 0)
+                        if not len(hit):
+                            continue
+                        own_ids = ids[hit, t]
+                        arc = np.full(len(own), NEVER)
+                        arc[hit] = self.log_cont[own_ids] + (self.log_go + beta[hit, t + k])
                         terms.append(arc)
-                        share = np.exp(np.minimum(alpha[:, t] + arc - total, 0.0)) * w
-                        hit = own_ids >= 0
-                        cont += np.bincount(own_ids[hit], share[hit], minlength=len(cont))
+                        used.append(own_ids)
+                        shares.append(np.exp(np.minimum(alpha[hit, t] + arc[hit] - total[hit], 0.0)) * w[hit])
+                # One count an offset: each costs the length of the vocabulary.
+                cont += np.bincount(np.concatenate(used), np.concatenate(shares), minlength=len(cont))
                 stacked = np.stack(terms)
                 top = stacked.max(axis=0)
                 beta[:, t] = top + np.log(np.exp(stacked - top).sum(axis=0))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.columns import held_out, record_batch, require
+from marginalia.llm.columns import gathered, held_out, record_batch, require
 from marginalia.llm.lattice import HashTable, Lattice, Pieces
 from marginalia.llm.textblocks import LOWER, blocks, words
 from marginalia.scratch import materialize
@@ -96,7 +96,7 @@ def learn(types: DataFrame, pieces: Pieces, rounds: int = 2) -> Lattice:
 
         def expect(batches: Iterator[pa.RecordBatch], model: Lattice = lattice) -> Iterator[pa.RecordBatch]:
             total = np.zeros(n_start + n_cont + 1)
-            for batch in batches:
+            for batch in gathered(batches):
                 start, cont, w = model.expected(*_spelled(batch.column(0)), np.ones(batch.num_rows))
                 total += np.concatenate([start, cont, [w]])
             some = np.flatnonzero(total)
@@ -151,7 +151,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", vocabulary_
     value_schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("base", pa.float64()), *[(x, pa.float64()) for x in names]])
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             c = [batch.column(x).to_numpy().astype(np.float64) for x in columns]
             every = discounted(c[0], cuts[0], kinds[0], total, lattice.log10(*_spelled(batch.column("word"))))
             own = [discounted(x, *facts_of, every) for x, *facts_of in zip(c[1:], cuts[1:], kinds[1:], totals[1:], strict=True)]

@@ -208,3 +208,27 @@ def test_tree_matching_aligns_by_order():
 def test_crc_of_pieces():
     ids = np.arange(5, dtype="<u4")
     assert zlib.crc32(ids[1:3].tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
+
+
+def test_gathered_keeps_rows_and_lattice_counts_do_not_depend_on_batches():
+    import random
+
+    from marginalia.llm.columns import gathered
+
+    rng = random.Random(11)
+    spelled = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))).encode() for _ in range(700)]
+    small = [pa.record_batch({"w": pa.array(spelled[k : k + 10])}) for k in range(0, len(spelled), 10)]
+    joined = list(gathered(iter(small), rows=64))
+    assert [x for b in joined for x in b.column(0).to_pylist()] == spelled and len(joined) < len(small)
+    assert list(gathered(iter([]))) == []
+    assert len(list(gathered(iter(small), size=1))) == len(small)
+
+    model = Lattice.initial(Pieces.load())
+
+    def expected(words):
+        edge = np.cumsum([0, *map(len, words)])
+        return model.expected(np.frombuffer(b"".join(words), np.uint8), edge[:-1], edge[1:], np.ones(len(words)))
+
+    whole, parts = expected(spelled), [expected(b.column(0).to_pylist()) for b in small]
+    for at in (0, 1, 2):
+        assert np.allclose(whole[at], sum(p[at] for p in parts))
