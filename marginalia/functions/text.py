@@ -82,3 +82,65 @@ def normalised(text: Column) -> Column:
 def unfenced(text: Column) -> Column:
     """A model's answer without its code fence."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+
+
+def squeezed(text: Column) -> Column:
+    """Letters and digits alone, lower case: equal where only space and punctuation differ."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+
+
+def miss_reason(quote: Column, passage: Column) -> Column:
+    """Why a quote was not grounded, from the mildest cause to the worst."""
+    words = F.filter(F.split(F.regexp_replace(normalised(quote), r"[^\p{L}\p{N}]+", " "), " "), lambda w: F.length(w) > 0)
+    held = F.split(F.regexp_replace(normalised(passage), r"[^\p{L}\p{N}]+", " "), " ")
+    return (
+        F.when(F.length(F.trim(F.coalesce(quote, F.lit("")))) == 0, "empty")
+        .when(F.contains(passage, quote), "present_but_exhausted")
+        .when(F.contains(F.translate(passage, "ſ", "s"), F.translate(quote, "ſ", "s")), "long_s_normalised")
+        .when(F.contains(normalised(passage), normalised(quote)), "other_normalisation")
+        .when((F.length(squeezed(quote)) > 0) & F.contains(squeezed(passage), squeezed(quote)), "whitespace_or_punctuation")
+        .when((F.size(words) > 0) & F.forall(words, lambda w: F.array_contains(held, w)), "words_present_reordered_or_gapped")
+        .otherwise("not_in_passage_at_all")
+    )
+
+
+def is_positive(text: Column, nouns: list[str], stops: list[str]) -> Column:
+    """A capitalised word that is no stop word, a landscape noun, or a distance; word ends are those of any script."""
+    whole = lambda x: rf"(?<![\p{{L}}\p{{N}}_])({x})(?![\p{{L}}\p{{N}}_])"
+    capitals = F.regexp_extract_all(text, F.lit(whole("[A-Z][a-z]{2,}")), F.lit(1))
+    named = F.size(F.array_except(capitals, F.array(*[F.lit(x) for x in stops]).cast("array<string>"))) > 0
+    return named | text.rlike("(?i)" + whole(f"(?:{'|'.join(nouns)})s?")) | text.rlike("(?i)" + whole("[0-9]+ (?:miles?|leagues?|yards?|feet|kilometres?)"))
+
+
+def risky_term(term: Column, denied: list[str]) -> Column:
+    """Why a term of a word list may match too much; null where it may not."""
+    person = r"(?i)(man|men|woman|women|er|ers|ist|ists)$"
+    return F.when(F.length(term) <= 3, "short").when(F.lower(term).isin(denied), "denied").when(term.rlike(person), "person")
+
+
+def git_blob_id(text: Column) -> Column:
+    """The id that git gives a file of this text."""
+    raw = F.encode(text, "UTF-8")
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.length(raw).cast("string")), "UTF-8"), F.unhex(F.lit("00")), raw))
+
+
+def revision(*parts: Column) -> Column:
+    """What identifies a served configuration: the parts that are there."""
+    return F.concat_ws("; ", *parts)
+
+
+def match_key(value: Column, aliases: dict[str, str] | None = None) -> Column:
+    """A field's value for comparison: white space collapsed, lower case, aliases put under one name; empty is null."""
+    folded = F.nullif(F.lower(F.trim(F.regexp_replace(value, r"\s+", " "))), F.lit(""))
+    if not aliases:
+        return folded
+    pairs = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return F.coalesce(F.element_at(pairs, folded), folded)
+
+
+def transient(error: Column, markers: list[str]) -> Column:
+    """True where an error's text holds one of the markers of passing trouble."""
+    hit = F.lit(False)
+    for m in markers:
+        hit = hit | F.contains(F.lower(error), F.lit(m.lower()))
+    return F.coalesce(hit, F.lit(False))

@@ -1 +1,3 @@
 
+
+from marginalia.plans import evaluation as evaluation  # registers its queries
