@@ -21,6 +21,25 @@ def micro_macro(rows: DataFrame, *by: str, empty: float = 1.0) -> DataFrame:
     return out.select("*", *[c.alias(n) for n, c in micro.items()]).withColumns({f"macro_{n}": F.round(f"macro_{n}", 6) for n in each})
 
 
+def by_facet(rows: DataFrame, facet: str, least: int = 15) -> DataFrame:
+    """Micro scores of (tp, fp, fn) by a facet; null is ``unknown``; facets of fewer than ``least`` references are not reported."""
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    sums = rows.groupBy(F.coalesce(F.col(facet), F.lit("unknown")).alias(facet)).agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")])
+    scored = {"precision": precision(tp, fp), "recall": recall(tp, fn), "f1": f1(tp, fp, fn)}
+    return sums.filter(tp + fn >= least).withColumns({n: F.round(c, 4) for n, c in scored.items()})
+
+
+def multilabel(rows: DataFrame, reference: str, predicted: str, *by: str) -> DataFrame:
+    """n, exact_set, tp, fp, fn, micro_f1 of sets of labels given as arrays; null is the empty set, repeats count once."""
+    empty = F.array().cast("array<string>")
+    r, p = (F.array_distinct(F.coalesce(F.col(c), empty)) for c in (reference, predicted))
+    each = rows.select(*by, F.size(F.array_intersect(r, p)).alias("tp"), F.size(F.array_except(p, r)).alias("fp"), F.size(F.array_except(r, p)).alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    exact = F.avg(((fp == 0) & (fn == 0)).cast("double"))
+    sums = each.groupBy(*by).agg(F.count("*").alias("n"), F.round(exact, 6).alias("exact_set"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return sums.withColumn("micro_f1", F.round(f1(tp, fp, fn), 6))
+
+
 def majority_accuracy(votes: DataFrame, gold: DataFrame, n_voters: int) -> DataFrame:
     """items, accuracy of the majority label; without a majority of all voters the answer is REJECT.
 

@@ -104,6 +104,23 @@ def dawid_skene(votes: DataFrame, labels: list[str], voters: list[str], rounds:
     return wide.select("item", "pattern").join(found, "pattern").select("item", "latent", "posterior")
 
 
+def reliability(votes: DataFrame, posteriors: DataFrame, labels: list[str]) -> DataFrame:
+    """voter, accuracy (how often right where a label was given), coverage (how often one was given).
+
+    Both are means over the latent labels, weighed within each by the posterior
+    of :func:`dawid_skene`; accuracy skips labels the voter never spoke on, and
+    is null where it spoke on none.  Votes outside ``labels`` are abstentions.
+    """
+    real = posteriors.filter(F.col("latent").isin(labels))
+    mass = real.groupBy("latent").agg(F.sum("posterior").alias("mass"))  # a row a label
+    spoke = F.sum(F.when(F.col("label").isin(labels), F.col("posterior")).otherwise(0.0))
+    right = F.sum(F.when(F.col("label") == F.col("latent"), F.col("posterior")).otherwise(0.0))
+    per = votes.join(real, "item").groupBy("voter", "latent").agg(spoke.alias("spoke"), right.alias("right")).join(F.broadcast(mass), "latent")
+    accuracy = F.avg(F.when(F.col("spoke") > 1e-12, F.col("right") / F.col("spoke")))
+    coverage = F.sum(F.try_divide("spoke", "mass")) / len(labels)
+    return per.groupBy("voter").agg(F.round(accuracy, 6).alias("accuracy"), F.round(coverage, 6).alias("coverage"))
+
+
 def bootstrap_f1(counts: DataFrame, by: str, replicates: int = 1000, seed: int = 2026) -> DataFrame:
     """Percentile interval of F1 over resampled passages.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import annotators as A, evaluate as E, narrative as N, spans as S, votes as V
+from marginalia.operators import annotators as A, evaluate as E, narrative as N, records as R, spans as S, votes as V
 from marginalia.plans.registry import CAPITAL, DOC_TOKENS, SQL_VOTES, TOKENS, VOTERS, query, turns, voters, votes
 from marginalia.sources import catalogue as C
 from marginalia.tables import table
@@ -215,3 +215,51 @@ def place_features(spark, d):
 @query()
 def text_segments(spark, d):
     return N.segments(_sentences(spark, d), 400)
+
+
+PRF = "round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1"
+
+
+@query(VOTERS + f""", u AS (SELECT 'capital' AS voter, pid, start FROM a UNION ALL SELECT 'comma', pid, start FROM c), v AS (SELECT DISTINCT voter FROM u),
+m AS (SELECT voter, pid, start FROM v, b), j AS (SELECT voter, u.pid IS NOT NULL AS p, m.pid IS NOT NULL AS g FROM (SELECT *, 1 AS k FROM u) u FULL JOIN m USING (voter, pid, start)),
+s AS (SELECT voter, CAST(count(*) FILTER (p AND g) AS BIGINT) AS tp, CAST(count(*) FILTER (p AND NOT g) AS BIGINT) AS fp, CAST(count(*) FILTER (g AND NOT p) AS BIGINT) AS fn FROM j GROUP BY 1)
+SELECT *, {PRF} FROM s""")
+def prf_by_voter(spark, d):
+    v = voters(spark, d)
+    counts = [S.match(v[name], v["long"], "exact").withColumn("voter", F.lit(name)) for name in ("capital", "comma")]
+    return S.scores(counts[0].unionByName(counts[1]), "voter")
+
+
+@query(f"""WITH s AS (SELECT coalesce(source, 'unknown') AS source, CAST(count(*) FILTER (quality = 1 AND toxic = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (quality = 1 AND toxic = 0) AS BIGINT) AS fp, CAST(count(*) FILTER (quality = 0 AND toxic = 1) AS BIGINT) AS fn
+FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT *, {PRF} FROM s WHERE tp + fn >= 15""")
+def prf_by_facet(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    q, t = F.col("quality"), F.col("toxic")
+    return E.by_facet(rows.select("source", ((q == 1) & (t == 1)).cast("int").alias("tp"), ((q == 1) & (t == 0)).cast("int").alias("fp"), ((q == 0) & (t == 1)).cast("int").alias("fn")), "source")
+
+
+@query("""WITH r AS (SELECT lang, coalesce(quality = 1, false) AS rq, coalesce(toxic = 1, false) AS rt, coalesce(n_chars >= 500, false) AS pq, coalesce(contains(text, '!'), false) AS pt FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT lang, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(rq = pq AND rt = pt AS DOUBLE)), 6) AS exact_set, CAST(sum(CAST(rq AND pq AS INTEGER) + CAST(rt AND pt AS INTEGER)) AS BIGINT) AS tp,
+CAST(sum(CAST(pq AND NOT rq AS INTEGER) + CAST(pt AND NOT rt AS INTEGER)) AS BIGINT) AS fp, CAST(sum(CAST(rq AND NOT pq AS INTEGER) + CAST(rt AND NOT pt AS INTEGER)) AS BIGINT) AS fn FROM r GROUP BY 1)
+SELECT *, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS micro_f1 FROM s""")
+def exact_set(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", "text", "n_chars").join(table(spark, d, "labels"), "doc_id")
+
+    def of(good, bad):
+        return F.array_compact(F.array(F.when(good, "quality"), F.when(bad, "toxic")))
+
+    sets = rows.select("lang", of(F.col("quality") == 1, F.col("toxic") == 1).alias("r"), of(F.col("n_chars") >= 500, F.contains("text", F.lit("!"))).alias("p"))
+    return E.multilabel(sets, "r", "p", "lang")
+
+
+@query("""SELECT user_id, CAST(count(*) AS BIGINT) AS calls, CAST(sum(event_id % 100) AS BIGINT) AS tokens_in, CASE WHEN count(*) = count(nullif(event_id % 50, 0)) THEN CAST(sum(nullif(event_id % 50, 0)) AS DOUBLE) / 4 END AS cost FROM events GROUP BY 1""")
+def strict_usage(spark, d):
+    price = F.nullif(F.col("event_id") % 50, F.lit(0)) / 4
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("calls"), R.strict_sum(F.col("event_id") % 100).alias("tokens_in"), R.strict_sum(price).alias("cost"))
+
+
+@query()
+def voter_reliability(spark, d):
+    labels = ["click", "view", "purchase"]
+    v = votes(spark, d).withColumn("voter", F.concat(F.lit("u"), F.col("voter")))
+    return V.reliability(v, V.dawid_skene(v, labels, [f"u{k}" for k in range(7)]), labels)

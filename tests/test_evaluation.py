@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import annotators as A, evaluate as E
+from marginalia.operators import annotators as A, evaluate as E, votes as V
 from marginalia.sources import catalogue as C
 
 
@@ -133,3 +133,23 @@ def test_holdout_and_queue(spark):
     items = spark.createDataFrame([(k, k % 4 != 0) for k in range(40)], "item int, u boolean")
     got = [r["stratum"] for r in E.queue(items, "item", "u", 5).collect()]
     assert got.count("A") == 5 and got.count("B") == 10
+
+
+def test_by_facet_names_null_and_leaves_small_facets_out(spark):
+    rows = spark.createDataFrame([("a", 9, 1, 6), ("a", 0, 0, 1), ("b", 1, 0, 0), (None, 15, 0, 0)], "period string, tp int, fp int, fn int")
+    got = {r["period"]: (r["tp"], r["fn"], r["recall"]) for r in E.by_facet(rows, "period").collect()}
+    assert got == {"a": (9, 7, 0.5625), "unknown": (15, 0, 1.0)}
+    assert E.by_facet(rows.limit(0), "period").count() == 0
+
+
+def test_multilabel_sets(spark):
+    rows = spark.createDataFrame([(["x", "y"], ["y", "x", "x"]), (["x"], None), (None, []), (["x"], ["z"])], "r array<string>, p array<string>")
+    r = E.multilabel(rows, "r", "p").first()
+    assert (r["n"], r["exact_set"], r["tp"], r["fp"], r["fn"], r["micro_f1"]) == (4, 0.5, 2, 1, 2, round(4 / 7, 6))
+
+
+def test_reliability_keeps_accuracy_and_coverage_apart(spark):
+    posteriors = spark.createDataFrame([(k, x, float(x == "AB"[k % 2])) for k in range(8) for x in ("A", "B", "REJECT")], "item int, latent string, posterior double")
+    votes = [(k, "good", "AB"[k % 2]) for k in range(8)] + [(0, "rare", "A"), (1, "rare", "B"), (2, "rare", "other")] + [(k, "half", "A") for k in range(8)] + [(0, "mute", "other")]
+    got = {r["voter"]: (r["accuracy"], r["coverage"]) for r in V.reliability(spark.createDataFrame(votes, "item int, voter string, label string"), posteriors, ["A", "B"]).collect()}
+    assert got == {"good": (1.0, 1.0), "rare": (1.0, 0.25), "half": (0.5, 1.0), "mute": (None, 0.0)}
