@@ -230,12 +230,13 @@ def prf_by_voter(spark, d):
     return S.scores(counts[0].unionByName(counts[1]), "voter")
 
 
-@query(f"""WITH s AS (SELECT coalesce(source, 'unknown') AS source, CAST(count(*) FILTER (quality = 1 AND toxic = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (quality = 1 AND toxic = 0) AS BIGINT) AS fp, CAST(count(*) FILTER (quality = 0 AND toxic = 1) AS BIGINT) AS fn
+@query(f"""WITH s AS (SELECT coalesce(source, 'unknown') AS source, CAST(count(*) FILTER (quality = 1 AND toxic = 0) AS BIGINT) AS tp, CAST(count(*) FILTER (quality = 0 AND toxic = 0) AS BIGINT) AS fp, CAST(count(*) FILTER (quality = 1 AND toxic = 1) AS BIGINT) AS fn
 FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT *, {PRF} FROM s WHERE tp + fn >= 15""")
 def prf_by_facet(spark, d):
+    """What is not toxic taken for good, held against what is, by source."""
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     q, t = F.col("quality"), F.col("toxic")
-    return E.by_facet(rows.select("source", ((q == 1) & (t == 1)).cast("int").alias("tp"), ((q == 1) & (t == 0)).cast("int").alias("fp"), ((q == 0) & (t == 1)).cast("int").alias("fn")), "source")
+    return E.by_facet(rows.select("source", ((q == 1) & (t == 0)).cast("int").alias("tp"), ((q == 0) & (t == 0)).cast("int").alias("fp"), ((q == 1) & (t == 1)).cast("int").alias("fn")), "source")
 
 
 @query("""WITH r AS (SELECT lang, coalesce(quality = 1, false) AS rq, coalesce(toxic = 1, false) AS rt, coalesce(n_chars >= 500, false) AS pq, coalesce(contains(text, '!'), false) AS pt FROM documents JOIN labels USING (doc_id)),
