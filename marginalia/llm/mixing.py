@@ -41,7 +41,8 @@ def targets(per_source: DataFrame, weights: list[int], most: int) -> DataFrame:
     levels = caps.withColumn("level", left / load)
     #: The level at the first source that it does not hold at its cap.
     free = F.min(F.when(F.col("cap") >= F.col("weight") * F.col("level"), F.col("cap") / F.col("weight"))).over(every)
-    level = F.min(F.when(F.col("cap") / F.col("weight") == F.col("free"), F.col("level"))).over(every)
+    # Of tied sources the first has the greatest level: the later ones' count it as held.
+    level = F.max(F.when(F.col("cap") / F.col("weight") == F.col("free"), F.col("level"))).over(every)
     found = levels.withColumn("free", free).withColumn("at", level)
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * F.col("at"), F.col("cap").cast("double")))
     return found.select("source", "source_size", target.alias("target"))

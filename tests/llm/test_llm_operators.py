@@ -125,6 +125,30 @@ def test_mixing_targets_and_odd_rows(spark, odd):
     assert got == pytest.approx(want)
 
 
+def reshared(sizes, weights, most):
+    """The rule itself: hold who is above the cap, share the excess again, until none is."""
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sorted(sizes))}
+    held = set()
+    while True:
+        free = [s for s in sizes if s not in held]
+        left = sum(sizes.values()) - sum(most * sizes[s] for s in held)
+        level = left / sum(weight[s] for s in free) if free else 0
+        above = {s for s in free if weight[s] * level > most * sizes[s]}
+        if not above:
+            return {s: most * sizes[s] if s in held else weight[s] * level for s in sizes}
+        held |= above
+
+
+@pytest.mark.parametrize(
+    "sizes", [(500, 200), (501, 200), (1000,) * 20, (0, 0, 0), (0, 7, 0, 7), (10, 4, 2, 9000, 9000, 40), (500, 200, 100, 500, 200, 100, 1), (5, 5000, 2500)]
+)
+@pytest.mark.parametrize("most", [1, 3])
+def test_mixing_targets_of_tied_sources(spark, sizes, most):
+    named = {f"s{k:02}": n for k, n in enumerate(sizes)}
+    rows = mixing.targets(spark.createDataFrame([*named.items()], "source string, source_size long"), [5, 2, 1], most).collect()
+    assert {r["source"]: r["target"] for r in rows} == pytest.approx(reshared(named, [5, 2, 1], most))
+
+
 def test_packing_odd_rows(odd):
     rows = packing.op5_packing(odd.repartition(3)).collect()
     fill = {}
