@@ -3,10 +3,12 @@
 Pages of one host share a template.  Every page's DOM tree is aligned with that
 of the host's first page by simple tree matching (the largest order-preserving
 match of children below matching parents).  An aligned node whose text is the
-same on most pages is template; a slot whose text varies is content.  Landmarks
-refine this: within an ``article`` or ``main`` element all is content, so a
-sentence that many pages quote stays; menus, adverts, forms and the like, known
-by element or by class, are never content, though their text may vary.
+same on most pages is template; a slot whose text varies is content.  This
+decides on every page, with landmarks or without.  Landmarks are evidence for
+content alone: within an ``article`` or ``main`` element a sentence that many
+pages quote stays, and what stands beside it is not lost.  Menus, adverts, forms
+and the like, known by element or by class, are never content, though their text
+may vary.
 
 Template statistics cover all pages of all hosts, as sums per (host, node).
 """
@@ -197,15 +199,6 @@ def _children(left: list[Element], right: list[Element], sizes: dict[tuple[int,
 
 def main_text(root: Element, template: set[int]) -> str:
     """Blocks of the content in page order; ``template``: indexes of this page's template nodes."""
-    has_landmark, todo = False, [root]
-    while todo:
-        e = todo.pop()
-        if e.noisy:
-            continue
-        if e.tag in LANDMARKS or "main" in e.label[1]:
-            has_landmark = True
-            break
-        todo += e.children
     blocks: list[str] = []
     buffer: list[str] = []
 
@@ -237,7 +230,7 @@ def main_text(root: Element, template: set[int]) -> str:
             continue
         mark = e.tag in LANDMARKS or "main" in e.label[1]
         within = inside or mark
-        shown = within if has_landmark else e.index not in template
+        shown = within or e.index not in template
         for x in reversed(e.parts):
             stack.append((x, within if isinstance(x, Element) else shown, False))
     flush()

@@ -181,6 +181,18 @@ def test_html_odd_rows(spark):
     assert htmltext.op7_htmltext(empty(df)).count() == 0
 
 
+def extracted(spark, pages, host="h.example"):
+    df = spark.createDataFrame([(k, f"https://{host}/{k}", page) for k, page in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in htmltext.op7_htmltext(df.repartition(3)).collect()}
+
+
+def test_html_text_beside_a_landmark(spark):
+    page = "<body><p>Site name</p><div class=text><h1>T{0}</h1><p>Body {0}.</p></div><article><p>Teaser {0}</p><p>Read on</p></article><p>All rights</p></body>"
+    got = extracted(spark, [page.format(k) for k in range(6)])
+    assert got == {k: f"T{k}\n\nBody {k}.\n\nTeaser {k}\n\nRead on" for k in range(6)}
+    assert extracted(spark, [page.format(1)]) == {0: "Site name\n\nT1\n\nBody 1.\n\nTeaser 1\n\nRead on\n\nAll rights"}
+
+
 def test_lm_base_equals_brute_force(odd):
     rows = odd.collect()
     tokens = [[*WORD.findall(lowered(r["text"])), None] for r in rows]
