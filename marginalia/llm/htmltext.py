@@ -33,30 +33,34 @@ SMALL = 16 << 20
 # HTML element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-SILENT = frozenset("script style noscript template svg math head title nav footer aside form button select option textarea iframe object dialog menu audio video canvas".split())
+SILENT = frozenset("script style noscript template svg head title nav footer aside form button select option textarea iframe object dialog menu audio video canvas".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CLOSES_P = BLOCKS - {"html", "body", "tbody", "tfoot", "thead", "tr"}
 LANDMARKS = frozenset(["article", "main"])
+#: What words of class, id and role never drop; nor do they drop what holds one of these.
+HELD = LANDMARKS | {"html", "body"}
 SIBLING = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: Words of class, id and role that name what is not the main text.
+#: Words of class, id and role that name what is not the main text.  A name is noise where all its words are: "cookie-notice", not "no-sidebar".
 NOISE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|([!?][^>]*)>?|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _OPEN_END = re.compile(r"<[/!?A-Za-z][^>]*\Z")
 
 
 class Element:
-    __slots__ = ("tag", "label", "noisy", "parts", "children", "shape", "own", "index")
+    __slots__ = ("tag", "label", "mark", "noisy", "parts", "children", "shape", "own", "index")
 
-    def __init__(self, tag: str, names: frozenset[str]):
+    def __init__(self, tag: str, names: list[str], roles: list[str] = ()):
         self.tag = tag
-        self.label = (tag, names)
-        self.noisy = tag in SILENT or bool(names & NOISE)
+        words = [_WORDS.findall(name) for name in names]
+        self.label = (tag, frozenset(w for own in words for w in own))
+        self.mark = tag in LANDMARKS or "main" in roles
+        self.noisy = tag in SILENT or any(own and NOISE.issuperset(own) for own in words)
         self.parts: list = []  # texts and elements, in order
         self.children: list[Element] = []
         self.shape = 0
@@ -66,7 +70,7 @@ class Element:
 
 def parse(page: str) -> Element:
     """A forgiving DOM tree: unknown end tags are ignored, open elements end where they must."""
-    root = Element("#root", frozenset())
+    root = Element("#root", [])
     stack, at, size = [root], 0, len(page)
     end = _OPEN_END.search(page, max(0, size - 4096))
     if end and "<!--" not in end[0][:4]:
@@ -105,12 +109,15 @@ def parse(page: str) -> Element:
                     break
                 if stack[k].tag in SIBLING[tag]:
                     break
-        names: frozenset[str] = frozenset()
+        names: list[str] = []
+        roles: list[str] = []
         if m[5] and "=" in m[5]:
-            found = " ".join(x or y or z for x, y, z in _NAMES.findall(m[5])).lower()
-            if found:
-                names = frozenset(_WORDS.findall(found))
-        e = Element(tag, names)
+            for kind, x, y, z in _NAMES.findall(m[5]):
+                found = (x or y or z).lower().split()
+                names += found
+                if kind.lower() == "role":
+                    roles += found
+        e = Element(tag, names, roles)
         stack[-1].parts.append(e)
         stack[-1].children.append(e)
         if tag in VOID or m[5].endswith("/"):
@@ -135,7 +142,11 @@ def _finish(root: Element) -> None:
         e.index = len(order)
         order.append(e)
         todo += reversed(e.children)
+    held = [False] * len(order)
     for e in reversed(order):
+        held[e.index] = e.mark or e.tag in HELD or any(held[c.index] for c in e.children)
+        if held[e.index]:
+            e.noisy = e.tag in SILENT
         e.shape = hash((e.label, tuple(c.shape for c in e.children)))
         e.own = " ".join("".join(x for x in e.parts if isinstance(x, str)).split())
 
@@ -228,8 +239,7 @@ def main_text(root: Element, template: set[int]) -> str:
             buffer.append(" ")
         if e.noisy or (e.tag == "header" and not inside):
             continue
-        mark = e.tag in LANDMARKS or "main" in e.label[1]
-        within = inside or mark
+        within = inside or e.mark
         shown = within or e.index not in template
         for x in reversed(e.parts):
             stack.append((x, within if isinstance(x, Element) else shown, False))

@@ -198,6 +198,30 @@ def test_html_blocks_and_noise():
     assert htmltext.main_text(htmltext.parse(""), set()) == "" and htmltext.main_text(htmltext.parse("<div>" * 5000 + "x"), set()) == "x"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body class='has-sidebar'><p>a</p></body>", "a"),
+        ("<html class='no-js menu'><body class='sidebar'><p>a</p></body></html>", "a"),
+        ("<div id='content' class='no-sidebar'><p>a</p></div>", "a"),
+        ("<article class='post comments-open'><p>a</p></article>", "a"),
+        ("<article class=comments><p>a</p></article>", "a"),
+        ("<div class='share wrap'><div><main>a</main></div></div>", "a"),
+        ("<div class='widget'><div role='main' class=promo>a</div></div>", "a"),
+        ("<div class='cookie-notice'>c</div><div class='x nav-menu'>c</div><div role=navigation>c</div><div id=ad-12>c</div><p>a</p>", "a"),
+        ("<article>a <math><mi>x</mi></math> b</article>", "a x b"),
+    ],
+)
+def test_html_noise_is_whole_names(page, text):
+    assert htmltext.main_text(htmltext.parse(page), set()) == text
+
+
+def test_html_landmarks_are_no_classes():
+    root = htmltext.parse("<div class='main-header'>h</div><div class=main-title>t</div><div role='main'>m</div><main>n</main><article>o</article><p>b</p>")
+    constant = {e.index for e in root.children}
+    assert htmltext.main_text(root, constant) == "m\n\nn\n\no"
+
+
 def test_tree_matching_aligns_by_order():
     a = htmltext.parse("<div><h1>t</h1><p>1</p><ul><li>x</li></ul><p>2</p></div>")
     b = htmltext.parse("<div><h1>u</h1><ul><li>y</li><li>z</li></ul><p>2</p></div>")
