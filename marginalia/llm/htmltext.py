@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template.  Every page's DOM tree is aligned with that
-of the host's first page by simple tree matching (the largest order-preserving
-match of children below matching parents).  An aligned node whose text is the
+Pages of one host share a template, or one a layout.  Every page's DOM tree is
+aligned with that of the host's first page, and of its layout's first page, by
+simple tree matching (the largest order-preserving match of children below
+matching parents).  An aligned node whose text is the
 same on most pages is template; a slot whose text varies is content.  This
 decides on every page, with landmarks or without.  Landmarks are evidence for
 content alone: within an ``article`` or ``main`` element a sentence that many
@@ -10,18 +11,19 @@ pages quote stays, and what stands beside it is not lost.  Menus, adverts, forms
 and the like, known by element or by class, are never content, though their text
 may vary.
 
-Template statistics cover all pages of all hosts, as sums per (host, node).
+Template statistics cover all pages of all hosts, as sums per (host, reference, node).
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.columns import extended, record_batch, require
@@ -29,6 +31,10 @@ from marginalia.scratch import materialize
 
 #: Reference pages are broadcast up to this many characters in all.
 SMALL = 16 << 20
+#: Pages of other layouts than their host's first may be broadcast up to this many (16 bytes each, beside the host).
+FEW_PAGES = 200_000
+#: Label paths in the sketch of a layout.
+PATHS = 64
 
 # HTML element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -252,18 +258,76 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.withColumn("__host", host)
 
 
+def paths(root: Element) -> list[int]:
+    """A bounded sketch of a page's layout: the least hashes of the distinct label paths, alike on every worker."""
+    known: dict[tuple[int, str, frozenset[str]], int] = {}
+    found, todo = set(), [(root, 0)]
+    while todo:
+        e, above = todo.pop()
+        key = (above, *e.label)
+        if key not in known:
+            known[key] = int.from_bytes(hashlib.blake2b(f"{above} {e.tag} {sorted(e.label[1])}".encode(), digest_size=7).digest(), "big")
+        found.add(known[key])
+        todo += [(c, known[key]) for c in e.children]
+    return sorted(found)[:PATHS]
+
+
+def _layouts(rows: DataFrame) -> DataFrame:
+    """__host, __code, __leader: pages (by hash) whose layout is not their host's first page's, and the page they follow.
+
+    Pages whose sketches agree in half of their paths are of one layout.  Rounds
+    take twice as many of a host's least uncovered pages as the one before, until
+    every page follows one: no layout is left out.
+    """
+    schema = pa.schema([("__paths", pa.list_(pa.int64()))])
+    size = F.struct("page_id", F.length("html").alias("n"), "__code")
+    keyed = rows.filter(F.length("html") > 0).select("__host", "html", size.alias("at"), "__code")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = record_batch(schema, [[paths(parse(page)) for page in batch.column(1).to_pylist()]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), made.column(0)], names=["__host", "at", "__code", "__paths"])
+
+    drawn = keyed.drop("html")
+    sketched = keyed.mapInArrow(sketch, extended(drawn, "__paths array<long>"))
+    pages = materialize(sketched.groupBy("__host", "__code", "__paths").agg(F.min("at").alias("at")), "html-layouts")
+    shapes = pages.groupBy("__host", "__paths").agg(F.min("at").alias("at"))
+    least = F.slice(F.array_sort(F.array_union("__paths", "__theirs")), 1, PATHS)
+    alike = F.size(F.array_intersect(F.array_intersect(least, "__paths"), "__theirs")) >= 0.5 * F.size(least)
+    left, followed, take = materialize(shapes, "html-shapes"), None, 1
+    while not left.isEmpty():
+        order = F.row_number().over(Window.partitionBy("__host").orderBy("at"))
+        leaders = left.withColumn("k", order).filter(F.col("k") <= take).select("__host", F.col("at").alias("leader"), F.col("__paths").alias("__theirs"))
+        near = left.join(leaders, "__host").filter(alike).groupBy("__host", "__paths").agg(F.min("leader").alias("leader"))
+        met = materialize(near, "html-met")
+        if take > 1:
+            followed = met if followed is None else followed.unionByName(met)
+        left = materialize(left.join(met, ["__host", "__paths"], "left_anti"), "html-left")
+        take *= 2
+    if followed is None:
+        return pages.limit(0).select("__host", "__code", F.col("__code").alias("__leader"))
+    return materialize(pages.join(followed, ["__host", "__paths"]).select("__host", "__code", F.col("leader.__code").alias("__leader")).distinct(), "html-followed")
+
+
 def extract(pages: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
     """Add ``text`` to every page: page_id, url and html are read, all columns but ``text`` stay.
 
     A null or empty html gives an empty text; a null url belongs to a host
-    without a name.  A node is template where it has the reference's text on
-    ``share`` of the host's other pages, ``least`` of them at the least; copies
-    of the reference page are no evidence.  Repeated rows are extracted each.
+    without a name.  Every page is aligned with its host's first page and, where
+    its layout is another, with the first page of that layout too.  A node is
+    template where it has a reference's text on ``share`` of the other pages
+    aligned with it, ``least`` of them at the least; copies of the reference page
+    are no evidence.  Repeated rows are extracted each.
     """
     require(pages, "page_id", "url", "html")
-    rows = _hosted(pages.select(*[c for c in pages.columns if c != "text"]))
-    first = rows.filter(F.length("html") > 0).groupBy("__host").agg(F.min_by("html", F.struct("page_id", F.length("html"), F.xxhash64("html"))).alias("__reference"))
-    references = materialize(first, "html-references")
+    rows = _hosted(pages.select(*[c for c in pages.columns if c != "text"])).withColumn("__code", F.xxhash64("html"))
+    full = rows.filter(F.length("html") > 0)
+    layouts = _layouts(rows)
+    few = F.broadcast if layouts.limit(FEW_PAGES + 1).count() <= FEW_PAGES else (lambda df: df)
+    first = full.groupBy("__host").agg(F.min_by("html", F.struct("page_id", F.length("html"), "__code")).alias("__reference")).withColumn("__leader", F.lit(None).cast("long"))
+    leaders = layouts.select("__host", F.col("__leader").alias("__code")).distinct()
+    others = full.join(few(leaders), ["__host", "__code"]).groupBy("__host", F.col("__code").alias("__leader")).agg(F.min("html").alias("__reference"))
+    references = materialize(first.unionByName(others), "html-references")
     size = references.agg(F.sum(F.length("__reference")).alias("n")).first()["n"] or 0
     hint = F.broadcast if size <= SMALL else (lambda df: df)
     trees: dict[str, Element] = {}
@@ -275,49 +339,59 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
             trees[reference] = parse(reference)
         return trees[reference]
 
-    count_schema = pa.schema([("__host", pa.string()), ("node", pa.int32()), ("met", pa.int64()), ("same", pa.int64())])
+    count_schema = pa.schema([("__host", pa.string()), ("__leader", pa.int64()), ("node", pa.int32()), ("met", pa.int64()), ("same", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = {}
-            for host, page, reference in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            sums: dict[tuple[str, int | None, int], list[int]] = {}
+            for host, page, leader, reference in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if page == reference:
                     continue
                 pairs = [(x.own == y.own, y.index) for x, y in align(parse(page), tree(reference)) if y.own]
                 if all(equal for equal, _ in pairs):
                     continue
                 for equal, node in pairs:
-                    own = sums.setdefault((host, node), [0, 0])
+                    own = sums.setdefault((host, leader, node), [0, 0])
                     own[0] += 1
                     own[1] += equal
             keys = list(sums)
-            yield record_batch(count_schema, [[k[0] for k in keys], [k[1] for k in keys], [v[0] for v in sums.values()], [v[1] for v in sums.values()]])
-
-    joined = rows.filter(F.length("html") > 0).select("__host", "html").join(hint(references), "__host")
-    counted = joined.select("__host", "html", "__reference").mapInArrow(compare, "__host string, node int, met long, same long")
-    nodes = counted.groupBy("__host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
-    constant = nodes.filter((F.col("same") >= least) & (F.col("same") >= share * F.col("met"))).groupBy("__host").agg(F.collect_list("node").alias("__template"))
-    wrappers = materialize(references.join(constant, "__host", "left"), "html-wrappers")
-    out_schema_names: list[str] = [c for c in rows.columns if c != "__host"]
+            yield record_batch(count_schema, [*([k[c] for k in keys] for c in range(3)), [v[0] for v in sums.values()], [v[1] for v in sums.values()]])
+
+    firsts, seconds = references.filter(F.col("__leader").isNull()).drop("__leader"), references.filter(F.col("__leader").isNotNull())
+    with_first = full.select("__host", "html").join(hint(firsts), "__host").select("__host", "html", F.lit(None).cast("long").alias("__leader"), "__reference")
+    with_second = full.select("__host", "__code", "html").join(few(layouts), ["__host", "__code"]).join(hint(seconds), ["__host", "__leader"]).select("__host", "html", "__leader", "__reference")
+    kind = "__host string, __leader long, node int, met long, same long"
+    counted = with_first.mapInArrow(compare, kind).unionByName(with_second.mapInArrow(compare, kind))
+    nodes = counted.groupBy("__host", "__leader", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
+    constant = nodes.filter((F.col("same") >= least) & (F.col("same") >= share * F.col("met"))).groupBy("__host", "__leader").agg(F.collect_list("node").alias("__template"))
+    constant = constant.select(F.col("__host").alias("h"), F.col("__leader").alias("l"), "__template")
+    own_key = (F.col("__host") == F.col("h")) & F.col("__leader").eqNullSafe(F.col("l"))
+    wrappers = materialize(references.join(constant, own_key, "left").drop("h", "l"), "html-wrappers")
+    out_schema_names: list[str] = [c for c in rows.columns if c not in ("__host", "__code")]
+    used = ("html", "__reference", "__template", "__reference2", "__template2")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, reference, template in zip(*(batch.column(c).to_pylist() for c in ("html", "__reference", "__template")), strict=True):
+            for page, *wrapped in zip(*(batch.column(c).to_pylist() for c in used), strict=True):
                 if not page:
                     texts.append("")
                     continue
                 root = parse(page)
                 own: set[int] = set()
-                if template and reference:
-                    listed = set(template)
-                    own = {x.index for x, y in align(root, tree(reference)) if y.index in listed and x.own == y.own}
+                for reference, template in (wrapped[:2], wrapped[2:]):
+                    if template and reference:
+                        listed = set(template)
+                        own |= {x.index for x, y in align(root, tree(reference)) if y.index in listed and x.own == y.own}
                 texts.append(main_text(root, own))
             arrays = [batch.column(c) for c in out_schema_names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string())], names=[*out_schema_names, "text"])
 
-    matched = rows.join(hint(wrappers), "__host", "left")
-    return matched.mapInArrow(read, extended(rows.drop("__host"), "text string"))
+    useful = wrappers.filter(F.col("__template").isNotNull())
+    firsts = useful.filter(F.col("__leader").isNull()).drop("__leader")
+    seconds = useful.filter(F.col("__leader").isNotNull()).withColumnsRenamed({"__reference": "__reference2", "__template": "__template2"})
+    matched = rows.join(hint(firsts), "__host", "left").join(few(layouts), ["__host", "__code"], "left").join(hint(seconds), ["__host", "__leader"], "left")
+    return matched.mapInArrow(read, extended(rows.drop("__host", "__code"), "text string"))
 
 
 def op7_htmltext(pages: DataFrame) -> DataFrame:

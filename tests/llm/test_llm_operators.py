@@ -193,6 +193,15 @@ def test_html_text_beside_a_landmark(spark):
     assert extracted(spark, [page.format(1)]) == {0: "Site name\n\nT1\n\nBody 1.\n\nTeaser 1\n\nRead on\n\nAll rights"}
 
 
+def test_html_every_layout_of_a_host_has_a_reference(spark):
+    home = "<body><section class=home><h1>Home {0}</h1></section></body>"
+    post = "<body><div class=top><b>Menu</b></div><div class=post><h2>P{0}</h2><p>Text {0}</p></div><div class=low><i>Fine print</i></div></body>"
+    item = "<body><table class=shop><tr><td>Our shop</td></tr><tr><th>Item {0}</th></tr></table><ul class=x><li>Call us</li></ul></body>"
+    pages = [home, *[post] * 6, *[item] * 6]
+    got = extracted(spark, [page.format(k) for k, page in enumerate(pages)])
+    assert got == {0: "Home 0"} | {k: f"P{k}\n\nText {k}" for k in range(1, 7)} | {k: f"Item {k}" for k in range(7, 13)}
+
+
 def test_lm_base_equals_brute_force(odd):
     rows = odd.collect()
     tokens = [[*WORD.findall(lowered(r["text"])), None] for r in rows]
