@@ -64,6 +64,21 @@ def shingle_sets(docs: DataFrame, width: int, id_column: str = "doc_id") -> Data
     return docs.select(id_column, "text").mapInArrow(sets, f"id {kind}, n_shingles long, node long, sketch binary")
 
 
+def texts_by_node(docs: DataFrame, width: int) -> DataFrame:
+    """node, id, text of rows (id, text); an id may have rows of different texts, so each text's own node is found."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, offsets in blocks(batch.column(1)):
+                h, row = shingles(words(raw, offsets), hi - lo, width)
+                at = np.searchsorted(row, np.arange(hi - lo + 1))
+                nodes = [node_id(h[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
+                arrays = [pa.array(nodes, pa.int64()), *(c.slice(lo, hi - lo) for c in batch.columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "id", "text"])
+
+    return docs.mapInArrow(name, f"node long, id {docs.schema['id'].dataType.simpleString()}, text string")
+
+
 class Forest:
     """Union-find over places 0..n-1 that keeps the unions it made."""
 
@@ -271,11 +286,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     first = full.select("id", "node", "n_shingles", "sketch").join(classes.select(F.col("node").alias("of"), "least"), (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("least")))
     nodes = materialize(first.select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "near-nodes")
     groups = materialize(candidate_groups(nodes, percent / 100).join(classes, "node"), "near-groups")
-    wanted = groups.select(F.col("node").alias("of"), "least")
-    if groups.count() <= FEW_IDS:
-        wanted = F.broadcast(wanted)
-    held = docs.select(F.col(id_column).alias("id"), "text").join(wanted, F.col("id").eqNullSafe(F.col("least")))
-    texts = held.groupBy(F.col("of").alias("node")).agg(F.first("text").alias("text")) if _repeats(sets) else held.select(F.col("of").alias("node"), "text")
+    wanted, few = groups.select(F.col("node").alias("of"), "least"), groups.count() <= FEW_IDS
+    hint = F.broadcast if few else (lambda df: df)
+    named_docs = docs.select(F.col(id_column).alias("id"), "text")
+    if _repeats(sets):
+        held = named_docs.join(hint(wanted.select("least").distinct()), F.col("id").eqNullSafe(F.col("least")), "left_semi")
+        own = texts_by_node(held, width).join(hint(wanted), (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("least")))
+        texts = own.groupBy("node").agg(F.first("text").alias("text"))
+    else:
+        texts = named_docs.join(hint(wanted), F.col("id").eqNullSafe(F.col("least"))).select(F.col("of").alias("node"), "text")
     links = confirmed_links(groups.select("node", "root", "n_shingles"), texts, width, percent)
     linked = components(links, "a", "b").join(classes.select("node", "least"), "node")
     lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))

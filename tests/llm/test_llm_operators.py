@@ -193,6 +193,16 @@ def test_html_text_beside_a_landmark(spark):
     assert extracted(spark, [page.format(1)]) == {0: "Site name\n\nT1\n\nBody 1.\n\nTeaser 1\n\nRead on\n\nAll rights"}
 
 
+@pytest.mark.parametrize("shared", [1, None])
+def test_near_copies_of_one_id_with_different_texts(spark, shared):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in "abc")
+    rows = [(shared, a), (shared, b), (shared, c), (2, a + " x"), (3, b + " x"), (4, c + " x")]
+    found = neardedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r["doc_id"]), r["component_id"]) for r in found)
+    own = {2: 1, 3: 1, 4: 1} if shared else {2: 2, 3: 3, 4: 4}
+    assert got == sorted([(str(k), v) for k, v in own.items()] + [(str(shared), v if shared is None else 1) for v in own.values()])
+
+
 def test_html_every_layout_of_a_host_has_a_reference(spark):
     home = "<body><section class=home><h1>Home {0}</h1></section></body>"
     post = "<body><div class=top><b>Menu</b></div><div class=post><h2>P{0}</h2><p>Text {0}</p></div><div class=low><i>Fine print</i></div></body>"
