@@ -30,19 +30,33 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the least id; repeated rows of one id are one document."""
+    """One document of each group of near copies, the least id; rows of one id and one text are one document.
+
+    Where ids repeat or are null, rows are told apart by id and text: each stays
+    or goes by its own text, and a row without an id goes only where a row that
+    stays, with an id if there is one, is its near copy.
+    """
     small_batches(spark)
-    found = materialize(neardedup.near_duplicates(docs), "kept-copies")
-    ids = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    repeated = not ids.filter(F.col("rows") > 1).isEmpty()
-    # A document without an id is in no group that it could stand for; it stays unless it is a copy.
-    lone = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).limit(1).count() > 0
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    if gone.count() <= neardedup.FEW_IDS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    kept = kept if lone else kept.filter(F.col("doc_id").isNotNull())
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter((F.col("rows") > 1) | F.col("doc_id").isNull())
+    if repeated.isEmpty():
+        found = materialize(neardedup.near_duplicates(docs), "kept-copies")
+        gone = found.filter(~F.col("kept")).select("doc_id")
+        return docs.join(F.broadcast(gone) if gone.count() <= neardedup.FEW_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(
+        F.col("doc_id").isNull().alias("none"),
+        F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"),
+        F.xxhash64("text", F.col("text").isNull()).alias("text"),
+    )
+    found = materialize(neardedup.near_duplicates(docs.select(row.alias("row"), "text"), id_column="row"), "kept-copies")
+    gone = found.filter(~F.col("kept")).select("row").distinct()
+    # Rows without words are copies of nothing; only those of one id are one document.
+    again = found.filter(F.col("kept") & ((F.col("n_shingles") > 0) | ~F.col("row.none"))).groupBy("row").agg(F.count("*").alias("rows"))
+    again = again.filter(F.col("rows") > 1).select("row")
+    gone, again = (F.broadcast(x) if x.count() <= neardedup.FEW_IDS else x for x in (gone, again))
+    kept = docs.withColumn("row", row).join(gone, "row", "left_anti")
+    whole = F.struct(*docs.columns)
+    merged = kept.join(again, "row", "left_semi").groupBy("row").agg(F.min(whole).alias("whole")).select("whole.*")
+    return kept.join(again, "row", "left_anti").select(*docs.columns).unionByName(merged)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
