@@ -3,12 +3,14 @@
 A word is spelled by one starting piece of an existing vocabulary and any
 number of continuing pieces (or single bytes).  The forward recursion, in log
 space, sums over all ways to do so; forward and backward together give expected
-piece counts, from which the unigram scores are re-estimated.  Words of one
-length are worked on together.
+piece counts, from which the unigram scores are re-estimated.  A word may be a
+piece of its own too, an arc from its start to its end.  Words of one length are
+worked on together, very long ones one by one in time linear in their bytes.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +21,8 @@ from marginalia.llm.tokens import vocabulary
 U64 = np.uint64
 _SPREAD = U64(0xD6E8FEB86659FD93)
 NEVER = -1e30
+#: Words of more bytes are worked on one by one, arc by arc.
+LONG = 1024
 
 
 def substring_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +74,20 @@ class HashTable:
         return got
 
 
+def _sums(begin: np.ndarray, end: np.ndarray, score: np.ndarray, n: int, first: dict[int, float]) -> np.ndarray:
+    """log-space sums over paths of arcs in order of ``end``, from the scores of ``first`` places."""
+    out = [NEVER] * (n + 1)
+    for t, x in first.items():
+        out[t] = x
+    exp, log1p = math.exp, math.log1p
+    for a, b, x in zip(begin.tolist(), end.tolist(), score.tolist(), strict=True):
+        x, y = out[a] + x, out[b]
+        if x < y:
+            x, y = y, x
+        out[b] = x + log1p(exp(y - x)) if y > x - 40 else x
+    return np.array(out)
+
+
 @dataclass
 class Pieces:
     """Spellings of a vocabulary's starting and continuing pieces, and their rank there."""
@@ -164,58 +182,95 @@ class Lattice:
             alpha[:, t] = top + np.log(np.exp(stacked - top).sum(axis=0))
         return alpha
 
+    def walk(self, starts: dict, conts: dict, n: int, backward: bool = False) -> tuple[np.ndarray, ...]:
+        """The same sums for one long word, arc by arc: alpha, and with ``backward`` beta and the arcs (begin, end, place)."""
+        begin, end, place = self._listed(conts, n)
+        order = np.argsort(end, kind="stable")
+        begin, end, place = begin[order], end[order], place[order]
+        score = self.log_cont[place] + self.log_go
+        first = {k: float(self.log_start[ids[0]]) for k, ids in starts.items() if ids[0] >= 0}
+        alpha = _sums(begin, end, score, n, {0: self.log_empty - self.log_go} | first)
+        if not backward:
+            return (alpha,)
+        order = np.argsort(-begin, kind="stable")
+        beta = _sums(n - end[order], n - begin[order], score[order], n, {0: 0.0})[::-1]
+        return alpha, beta, begin, end, place
+
+    @staticmethod
+    def _listed(conts: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """begin, end and place of all continuing arcs of one word."""
+        found = [(np.flatnonzero(ids[0] >= 0), k) for k, ids in conts.items()]
+        begin = np.concatenate([at for at, _ in found])
+        end = np.concatenate([at + k for at, k in found])
+        return begin, end, np.concatenate([conts[k][0][at] for at, k in found])
+
     def _groups(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray):
         length = end - begin
         order = np.argsort(length, kind="stable")
         edge = np.append(np.flatnonzero(np.append(True, np.diff(length[order]) > 0)), len(order)) if len(order) else np.zeros(1, int)
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
             n = int(length[order[lo]])
-            step = max(1, (1 << 18) // max(n, 1))
+            step = 1 if n > LONG else max(1, (1 << 18) // max(n, 1))
             for at in range(lo, hi, step):
                 own = order[at : min(at + step, hi)]
                 # The bytes of these words side by side, so that no work grows with the block.
                 index = begin[own][:, None] + np.arange(n)[None]
                 yield own, raw[index].ravel(), np.arange(len(own)) * n, n
 
-    def log10(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """log10 of the marginal probability of each (non-empty) word."""
+    def log10(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, whole: np.ndarray | None = None, free: float = 0.0) -> np.ndarray:
+        """log10 of the marginal probability of each (non-empty) word.
+
+        ``whole``: natural-log score of the arc that spans the word, where the
+        word itself is one more piece of the vocabulary (``NEVER`` where it is
+        not); ``free`` is then the natural log of what is left to the others.
+        """
         out = np.empty(len(begin))
         for own, text, at, n in self._groups(raw, begin, end):
-            alpha = self.forward(*self.arcs(text, at, n), len(own), n)
-            out[own] = (alpha[:, n] + self.log_stop) / np.log(10)
-        return out
+            arcs = self.arcs(text, at, n)
+            alpha = self.walk(*arcs, n)[0][None] if n > LONG else self.forward(*arcs, len(own), n)
+            total = alpha[:, n] + self.log_stop
+            out[own] = total if whole is None else np.logaddexp(whole[own], free + total)
+        return out / np.log(10)
 
     def expected(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Expected uses of starting pieces (the empty start last) and continuing pieces, and the weight of words."""
         start, cont = np.zeros(len(self.pieces.start) + 1), np.zeros(len(self.pieces.cont))
         for own, text, at, n in self._groups(raw, begin, end):
             starts, conts = self.arcs(text, at, n)
-            alpha = self.forward(starts, conts, len(own), n)
-            total, w = alpha[:, n], weight[own]
-            beta = np.full((len(own), n + 1), NEVER)
-            beta[:, n] = 0
-            for t in range(n - 1, -1, -1):
-                terms, used, shares = [], [], []
-                for k, ids in conts.items():
-                    if t + k <= n:
-                        hit = np.flatnonzero(ids[:, t] >= 0)
-                        if not len(hit):
-                            continue
-                        own_ids = ids[hit, t]
-                        arc = np.full(len(own), NEVER)
-                        arc[hit] = self.log_cont[own_ids] + (self.log_go + beta[hit, t + k])
-                        terms.append(arc)
-                        used.append(own_ids)
-                        shares.append(np.exp(np.minimum(alpha[hit, t] + arc[hit] - total[hit], 0.0)) * w[hit])
-                # One count an offset: each costs the length of the vocabulary.
+            w = weight[own]
+            if n > LONG:
+                alpha, beta, left, right, place = self.walk(starts, conts, n, backward=True)
+                share = np.exp(np.minimum(alpha[left] + self.log_cont[place] + self.log_go + beta[right] - alpha[n], 0.0))
+                cont += np.bincount(place, share * w[0], minlength=len(cont))
+                alpha, beta = alpha[None], beta[None]
+            else:
+                alpha = self.forward(starts, conts, len(own), n)
+                beta = np.full((len(own), n + 1), NEVER)
+                beta[:, n] = 0
+                used, shares = [], []
+                for t in range(n - 1, -1, -1):
+                    terms = []
+                    for k, ids in conts.items():
+                        if t + k <= n:
+                            hit = np.flatnonzero(ids[:, t] >= 0)
+                            if not len(hit):
+                                continue
+                            own_ids = ids[hit, t]
+                            arc = np.full(len(own), NEVER)
+                            arc[hit] = self.log_cont[own_ids] + (self.log_go + beta[hit, t + k])
+                            terms.append(arc)
+                            used.append(own_ids)
+                            shares.append(np.exp(np.minimum(alpha[hit, t] + arc[hit] - alpha[hit, n], 0.0)) * w[hit])
+                    stacked = np.stack(terms)
+                    top = stacked.max(axis=0)
+                    beta[:, t] = top + np.log(np.exp(stacked - top).sum(axis=0))
+                # One count a group of words: each costs the length of the vocabulary.
                 cont += np.bincount(np.concatenate(used), np.concatenate(shares), minlength=len(cont))
-                stacked = np.stack(terms)
-                top = stacked.max(axis=0)
-                beta[:, t] = top + np.log(np.exp(stacked - top).sum(axis=0))
+            total = alpha[:, n]
             for k, ids in starts.items():
                 hit = ids >= 0
                 share = np.exp(np.minimum(self.log_start[ids[hit]] + beta[hit, k] - total[hit], 0.0)) * w[hit]
-                start += np.bincount(ids[hit], share, minlength=len(start))
+                np.add.at(start, ids[hit], share)
             start[-1] += (np.exp(np.minimum(alpha[:, 0] + beta[:, 0] - total, 0.0)) * w).sum()
         return start, cont, float(weight.sum())
 

@@ -1,40 +1,47 @@
 """Language-model scores of whole texts from subword lattices.
 
-Training texts give the count of every word.  Their words also re-estimate the
-unigram scores of an existing subword vocabulary, by expectation-maximisation
-over lattices.  The model of a word discounts its count and gives what that
-frees to the marginal probability of its spelling over all segmentations, so
-unseen words have one too; a text is its words and an end:
-
-    P(w) = (max(c - d, 0) + d * V * L(w)) / N,   P(end) = documents / N
-
-Where training texts name their language, each of the commonest languages has a
-model of its own that discounts towards P in the same way, and a text's
-probability is marginal over them too: the sum over models of their share times
-the text's probability under each.  The language of a text is not read to score it.
-
-Words are counted once for all texts; a bounded table of the most frequent is
-given to every task, the rest are looked up by a join on the word.
+The vocabulary is an existing subword vocabulary, its unigram scores re-estimated
+on the training words by expectation-maximisation over lattices, and every word
+of the training texts as one more piece, whose score is its discounted count.  The
+forward recursion sums over all segmentations of a word, the word itself among
+them, so known and unknown words have a probability alike:
+
+    P(w) = (c - d) / N + d * V / N * (sum over segmentations into pieces)
+
+(the first term only where c > 0); an end has documents / N.  A text is its words
+and an end, and as no piece holds a space, its marginal over all segmentations is
+their product.
+
+Where training texts name their language, each language of ``LEAST_SHARE`` of
+them or more discounts towards P in the same way, and a text's probability is
+marginal over languages too.  The language of a text is not read to score it.
+
+Words are counted once for all texts, in narrow rows of (word, language); a
+bounded table of the most frequent is given to every task, the rest are looked
+up by a join on the word.  A row's number is written once, with its id, and
+carried from there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from marginalia.llm.columns import gathered, held_out, record_batch, require
-from marginalia.llm.lattice import HashTable, Lattice, Pieces
+from marginalia.llm.lattice import NEVER, HashTable, Lattice, Pieces
 from marginalia.llm.textblocks import LOWER, blocks, words
 from marginalia.scratch import materialize
 
-#: Words of the table that every task holds (24 bytes each).
+#: Words of the table that every task holds (about 60 bytes each).
 HEAD = 1 << 18
-#: Languages with a model of their own.
-CLASSES = 6
+#: Languages of a smaller share of the training texts are left to the model of all (so there are 1 / LEAST_SHARE at most).
+LEAST_SHARE = 1e-3
+LN10 = float(np.log(10))
 
 
 def _gather(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -45,33 +52,36 @@ def _gather(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw[index])])
 
 
-def word_counts(docs: DataFrame, train: Column, classes: list[str]) -> DataFrame:
-    """h, word, n (in all texts), c (in training texts), c1.. (in those of each class) of every distinct word, lower-cased."""
-    names = ["n", "c", *[f"c{k + 1}" for k in range(len(classes))]]
-    schema = pa.schema([("h", pa.int64()), ("word", pa.binary()), *[(x, pa.int64()) for x in names]])
+def word_counts(docs: DataFrame, train: Column, languages: list[str]) -> DataFrame:
+    """h, word, n (in all texts), c (in training texts), kinds and counts (of its languages) of every distinct word, lower-cased."""
+    schema = pa.schema([("h", pa.int64()), ("word", pa.binary()), ("kind", pa.int32()), ("n", pa.int64()), ("c", pa.int64())])
     kind = F.lit(-1)
-    for k, value in enumerate(classes):
-        kind = F.when(F.col("lang") == value, k).otherwise(kind)
+    if languages:
+        kind = F.coalesce(F.when(train, F.array_position(F.lit(languages), F.col("lang")) - 1), kind)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             learn = batch.column(1).to_numpy(zero_copy_only=False)
             which = batch.column(2).to_numpy()
-            for lo, _, raw, offsets in blocks(batch.column(0), 3 << 20):
+            for lo, _, raw, offsets in blocks(batch.column(0)):
                 w = words(raw, offsets)
                 if not len(w.hashes):
                     continue
-                order = np.argsort(w.hashes)
-                h, row = w.hashes[order], lo + w.row[order]
-                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                n = np.diff(np.append(first, len(h)))
-                seen, of = learn[row], which[row]
-                each = [np.add.reduceat(x.astype(np.int64), first) for x in (seen, *[seen & (of == k) for k in range(len(classes))])]
+                of = which[lo + w.row]
+                order = np.lexsort((of, w.hashes))
+                h, of = w.hashes[order], of[order]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])))
+                seen = np.add.reduceat(learn[lo + w.row[order]].astype(np.int64), first)
                 at = order[first]
-                yield record_batch(schema, [h[first].astype(np.int64), _gather(LOWER[raw], w.start[at], w.end[at]), n, *each])
+                n = np.diff(np.append(first, len(h)))
+                yield record_batch(schema, [h[first].astype(np.int64), _gather(LOWER[raw], w.start[at], w.end[at]), of[first].astype(np.int32), n, seen])
 
-    made = docs.select("text", train.alias("train"), kind.cast("int").alias("kind")).mapInArrow(count, "h long, word binary, " + ", ".join(f"{x} long" for x in names))
-    return made.groupBy("h", "word").agg(*[F.sum(x).alias(x) for x in names])
+    made = docs.select("text", train.alias("train"), kind.cast("int").alias("kind")).mapInArrow(count, "h long, word binary, kind int, n long, c long")
+    each = made.groupBy("h", "word", "kind").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    # A word has a row a language at most here.
+    own = F.array_sort(F.collect_list(F.when(F.col("kind") >= 0, F.struct("kind", "c"))))
+    whole = each.groupBy("h", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), own.alias("own"))
+    return whole.select("h", "word", "n", "c", F.col("own.kind").alias("kinds"), F.col("own.c").alias("counts"))
 
 
 def _spelled(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +106,7 @@ def learn(types: DataFrame, pieces: Pieces, rounds: int = 2) -> Lattice:
 
         def expect(batches: Iterator[pa.RecordBatch], model: Lattice = lattice) -> Iterator[pa.RecordBatch]:
             total = np.zeros(n_start + n_cont + 1)
-            for batch in gathered(batches):
+            for batch in gathered(batches, size=2 << 20):
                 start, cont, w = model.expected(*_spelled(batch.column(0)), np.ones(batch.num_rows))
                 total += np.concatenate([start, cont, [w]])
             some = np.flatnonzero(total)
@@ -109,55 +119,85 @@ def learn(types: DataFrame, pieces: Pieces, rounds: int = 2) -> Lattice:
     return lattice
 
 
-def discounted(c: np.ndarray, cut: float, kinds: int, total: int, lower: np.ndarray) -> np.ndarray:
-    """log10 of (max(c - cut, 0) + cut * kinds * 10**lower) / total; half of ``lower`` where nothing was counted."""
-    if not kinds:
-        return lower + np.log10(0.5)
-    free = lower + np.log10(cut * kinds / total)
-    known = np.log10(np.maximum(c - cut, 1e-300) / total)
-    return np.where(c > 0, np.logaddexp(known * np.log(10), free * np.log(10)) / np.log(10), free)
+@dataclass
+class Counted:
+    """What a model discounts with: words and ends counted, distinct words, and the cut of a count."""
+
+    total: int
+    kinds: int
+    cut: float
+
+    @classmethod
+    def of(cls, words: int, ends: int, kinds: int, once: int, twice: int) -> Counted:
+        return cls(words + ends, kinds, float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95)))
+
+    def free(self) -> float:
+        """Natural log of what is left to other segmentations; half where nothing was counted."""
+        return float(np.log(self.cut * self.kinds / self.total)) if self.kinds else float(np.log(0.5))
+
+    def whole(self, c: np.ndarray) -> np.ndarray:
+        """Natural log of a counted word's own arc."""
+        return np.where(c > 0, np.log(np.maximum(c - self.cut, 1e-300) / max(self.total, 1)), NEVER)
+
+
+def _facts(types: DataFrame) -> tuple[Row, dict[int, Row]]:
+    """Sums over words and, by language, over (word, language)."""
+    sums = lambda c: [F.sum(c).alias("n"), F.count_if(F.col(c) > 0).alias("v"), F.count_if(F.col(c) == 1).alias("one"), F.count_if(F.col(c) == 2).alias("two")]
+    entries = types.select(F.explode(F.arrays_zip("kinds", "counts")).alias("x")).select(F.col("x.kinds").alias("kind"), F.col("x.counts").alias("c"))
+    return types.agg(*sums("c")).first(), {r["kind"]: r for r in entries.groupBy("kind").agg(*sums("c")).collect()}
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row offsets of an Arrow list column without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]] if len(column) else np.zeros(0), (offsets - offsets[0]).astype(np.int64)
 
 
 def score(docs: DataFrame, train: Column, id_column: str = "doc_id", vocabulary_file: str | None = None) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row; log10 throughout.
 
     A null text is an empty one and has the end alone.  Repeated rows are scored
-    each.  Without training rows no token is known and words are as likely as
-    their spelling.
+    each, and rows of one id or of a null id keep their own scores.  Without
+    training rows no token is known and words are as likely as their spelling.
+    A very long word costs time linear in its bytes.  Other columns of the input
+    are not read, but for ``lang`` of the training rows.
     """
     require(docs, id_column, "text")
     pieces = Pieces.load(vocabulary_file)
-    texts = {None: docs.filter(train).count()}
+    trained = docs.filter(train)
+    documents, shares = trained.count(), {}
     if "lang" in docs.columns:
-        common = docs.filter(train & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "lang").limit(CLASSES).collect()
-        texts |= {r["lang"]: r["k"] for r in common}
-    classes, ends = [x for x in texts if x is not None], [*texts.values()]
-    columns = ["c", *[f"c{k + 1}" for k in range(len(classes))]]
-    types = materialize(word_counts(docs, train, classes), "lm-words")
-    sums = [
-        x
-        for c in columns
-        for x in (F.sum(c).alias(f"{c}_n"), F.count_if(F.col(c) > 0).alias(f"{c}_v"), F.count_if(F.col(c) == 1).alias(f"{c}_1"), F.count_if(F.col(c) == 2).alias(f"{c}_2"))
-    ]
-    facts = types.agg(*sums).first()
-    kinds = [int(facts[f"{c}_v"] or 0) for c in columns]
-    totals = [int(facts[f"{c}_n"] or 0) + e for c, e in zip(columns, ends, strict=True)]
-    cuts = [float(np.clip(facts[f"{c}_1"] / max(facts[f"{c}_1"] + 2 * facts[f"{c}_2"], 1), 0.1, 0.95)) for c in columns]
+        common = trained.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("k")).filter(F.col("k") >= LEAST_SHARE * documents)
+        shares = {r["lang"]: r["k"] for r in sorted(common.collect(), key=lambda r: str(r["lang"]))}
+    types = materialize(word_counts(docs, train, list(shares)), "lm-words")
+    facts, by_kind = _facts(types)
+    every = Counted.of(int(facts["n"] or 0), documents, facts["v"], facts["one"], facts["two"])
+    none = {"n": 0, "v": 0, "one": 0, "two": 0}
+    owns = [Counted.of(int(r["n"]), ends, r["v"], r["one"], r["two"]) for r, ends in ((by_kind.get(k, none), e) for k, e in enumerate(shares.values()))]
     lattice = learn(types, pieces)
-    total = totals[0]
-    base = float(total + kinds[0] + (ends[0] > 0) + 1)
-    names = [f"s{k}" for k in range(len(columns))]
-    fields = ", ".join(["h long, n long, c long, base double", *[f"{x} double" for x in names]])
-    value_schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("base", pa.float64()), *[(x, pa.float64()) for x in names]])
+    total = every.total
+    base = float(total + every.kinds + (documents > 0) + 1)
+    value_schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("known", pa.bool_()), ("base", pa.float64()), ("own", pa.float64()), ("kinds", pa.list_(pa.int32())), ("gains", pa.list_(pa.float64()))])
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
-            c = [batch.column(x).to_numpy().astype(np.float64) for x in columns]
-            every = discounted(c[0], cuts[0], kinds[0], total, lattice.log10(*_spelled(batch.column("word"))))
-            own = [discounted(x, *facts_of, every) for x, *facts_of in zip(c[1:], cuts[1:], kinds[1:], totals[1:], strict=True)]
-            yield record_batch(value_schema, [batch.column("h"), batch.column("n"), batch.column("c"), np.log10((c[0] + 1) / base), every, *own])
-
-    valued = materialize(types.mapInArrow(value, fields), "lm-values")
+        """log10 of P(w), and for its languages by how much their models give it more than they would uncounted."""
+        for batch in gathered(batches, size=2 << 20):
+            c = batch.column("c").to_numpy().astype(np.float64)
+            own = lattice.log10(*_spelled(batch.column("word")), every.whole(c), every.free())
+            kinds, offsets = _flat(batch.column("kinds"))
+            counts, _ = _flat(batch.column("counts"))
+            row = np.repeat(np.arange(len(c)), np.diff(offsets))
+            gains = np.empty(len(kinds))
+            for k in np.unique(kinds):
+                at = np.flatnonzero(kinds == k)
+                uncounted = owns[k].free() + own[row[at]] * LN10
+                gains[at] = (np.logaddexp(owns[k].whole(counts[at]), uncounted) - uncounted) / LN10
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, t)) for x, t in ((kinds, pa.int32()), (gains, pa.float64()))]
+            yield record_batch(value_schema, [batch.column("h"), batch.column("n"), c > 0, np.log10((c + 1) / base), own, *lists])
+
+    valued = materialize(types.mapInArrow(value, "h long, n long, known boolean, base double, own double, kinds array<int>, gains array<double>"), "lm-values")
     level = F.floor(F.log2("n"))
     sizes = sorted(((r["l"], r["k"]) for r in valued.groupBy(level.alias("l")).agg(F.count("*").alias("k")).collect()), reverse=True)
     least, held = 1 << 62, 0
@@ -165,54 +205,75 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", vocabulary_
         if held + k > HEAD:
             break
         least, held = 1 << int(at), held + k
-    frequent = valued.filter(F.col("n") >= least).select("h", "c", "base", *names).toPandas()  # HEAD rows at most
-    added = ["base", *names]
+    frequent = valued.filter(F.col("n") >= least).drop("n").toArrow()  # HEAD rows at most
+    kinds, offsets = _flat(frequent.column("kinds"))
+    gains, _ = _flat(frequent.column("gains"))
     shared = docs.sparkSession.sparkContext.broadcast(
-        (frequent["h"].to_numpy(np.int64).astype(np.uint64), (frequent["c"] > 0).to_numpy(), [frequent[x].to_numpy() for x in added])
+        (frequent.column("h").to_numpy().astype(np.uint64), frequent.column("known").to_numpy(), frequent.column("base").to_numpy(), frequent.column("own").to_numpy(), kinds, gains, offsets)
     )
-    end = [float(np.log10((ends[0] + 1) / base)), *[float(np.log10(e / n)) if e else float(np.log10(0.5)) for e, n in zip(ends, totals, strict=True)]]
-    part_schema = pa.schema([("rid", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), *[(x, pa.float64()) for x in added]])
+    del frequent
+    # Shares of the models: those of the training texts; what no language has goes to the model of all.
+    rest = max(documents - sum(shares.values()), 1)
+    share = np.log10(np.array([rest, *shares.values()]) / (rest + sum(shares.values())))
+    ends = [np.log10(e / m.total) if e else np.log10(0.5) for e, m in zip([documents, *shares.values()], [every, *owns], strict=True)]
+    # Of the model of all and of each language: what a text has once, and what it has for each word.
+    once = np.array(ends) + share
+    each = np.array([0.0, *[m.free() / LN10 for m in owns]])
+    end_base = float(np.log10((documents + 1) / base))
+    id_type = docs.schema[id_column].dataType.simpleString()
+    part_names = ["rid", "id", "h", "n", "known", "base", "by"]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, is_known, values = shared.value
+        """A row a text, with all that the frequent words give; a row an other word, with its hash."""
+        keys, is_known, bases, own_of, kinds, gains, offsets = shared.value
         head = HashTable(keys, 20)
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            for lo, hi, raw, offsets in blocks(batch.column(1)):
-                w = words(raw, offsets)
+            rid = batch.column(0)
+            ids = batch.column(1)
+            for lo, hi, raw, starts in blocks(batch.column(2)):
+                w = words(raw, starts)
                 m = hi - lo
                 at = head.find(w.hashes)
                 hit = at >= 0
-                row, place = w.row[hit], at[hit]
-                known = np.bincount(row, is_known[place], minlength=m) + (ends[0] > 0)
-                sums = [np.bincount(row, x[place], minlength=m) + e for x, e in zip(values, end, strict=True)]
-                tokens = np.bincount(w.row, minlength=m) + 1
-                own = rid[lo:hi]
-                yield record_batch(part_schema, [own, pa.nulls(m, pa.int64()), tokens, known.astype(np.int64), *sums])
-                rest = np.flatnonzero(~hit)
-                if len(rest):
-                    none = pa.nulls(len(rest), pa.float64())
-                    yield record_batch(part_schema, [own[w.row[rest]], w.hashes[rest].astype(np.int64), np.ones(len(rest), np.int64), np.zeros(len(rest), np.int64), *[none] * len(added)])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column), "text")
-    part_fields = "rid long, h long, n long, known long, " + ", ".join(f"{x} double" for x in added)
-    made = materialize(rows.select("rid", "text").mapInArrow(parts, part_fields), "lm-parts")
-    tail = made.filter(F.col("h").isNotNull()).select("rid", "h", "n")
-    looked = tail.withColumnRenamed("n", "times").join(valued.filter(F.col("n") < least).drop("n"), "h")
-    more = looked.groupBy("rid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known_more"), *[F.sum(F.col("times") * F.col(x)).alias(f"{x}_more") for x in added]
+                row, place = w.row[hit], at[hit].astype(np.int64)
+                known = np.bincount(row, is_known[place], minlength=m) + (documents > 0)
+                tokens = np.bincount(w.row, minlength=m)
+                sums = once[None] + tokens[:, None] * each[None] + np.bincount(row, own_of[place], minlength=m)[:, None]
+                width = offsets[place + 1] - offsets[place]
+                if width.sum():
+                    entry = np.repeat(offsets[place] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+                    cell = np.repeat(row, width) * len(once) + kinds[entry] + 1
+                    sums += np.bincount(cell, gains[entry], minlength=m * len(once)).reshape(m, -1)
+                by = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * len(once), pa.int32()), pa.array(sums.ravel()))
+                own = rid.slice(lo, m)
+                arrays = [own, ids.slice(lo, m), pa.nulls(m, pa.int64()), pa.array(tokens + 1, pa.int64()), pa.array(known.astype(np.int64)), pa.array(np.bincount(row, bases[place], minlength=m) + end_base), by]
+                yield pa.RecordBatch.from_arrays(arrays, names=part_names)
+                other = np.flatnonzero(~hit)
+                if len(other):
+                    k = len(other)
+                    arrays = [own.take(pa.array(w.row[other])), pa.nulls(k, ids.type), pa.array(w.hashes[other].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=part_names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("id"), "text")
+    made = materialize(rows.mapInArrow(parts, f"rid long, id {id_type}, h long, n long, known long, base double, by array<double>"), "lm-parts")
+    looked = made.filter(F.col("h").isNotNull()).select("rid", "h").join(valued.filter(F.col("n") < least).drop("n"), "h")
+    # Kind -1 has what every model is given, the others what their language adds.
+    common_entry = F.struct(F.lit(-1).alias("kind"), F.col("own").alias("x"), F.col("known").cast("long").alias("known"), F.col("base").alias("base"))
+    kind_entries = F.transform(F.arrays_zip("kinds", "gains"), lambda z: F.struct(z["kinds"].alias("kind"), z["gains"].alias("x"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")))
+    summed = looked.select("rid", F.explode(F.concat(F.array(common_entry), kind_entries)).alias("e")).select("rid", "e.*")
+    summed = summed.groupBy("rid", "kind").agg(F.sum("x").alias("x"), F.sum("known").alias("known"), F.sum("base").alias("base"))
+    # A text has a row a language at most here.
+    more = summed.groupBy("rid").agg(
+        F.map_from_entries(F.collect_list(F.struct("kind", "x"))).alias("more"), F.sum("known").alias("known_more"), F.sum("base").alias("base_more")
     )
-    whole = made.filter(F.col("h").isNull()).drop("h").join(more, "rid", "left").join(rows.select("rid", id_column), "rid")
+    whole = made.filter(F.col("h").isNull()).drop("h").join(more, "rid", "left")
     plus = lambda x: F.col(x) + F.coalesce(F.col(f"{x}_more"), F.lit(0))
-    # Shares of the models: those of the training texts; what no class has goes to the model of all.
-    rest = max(ends[0] - sum(ends[1:]), 1)
-    shares = [rest / (rest + sum(ends[1:])), *[e / (rest + sum(ends[1:])) for e in ends[1:]]]
-    logs = [plus(x) + F.lit(float(np.log10(p))) for x, p in zip(names, shares, strict=True)]
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    marginal = F.col("top") + F.log10(sum((F.pow(F.lit(10.0), F.col(f"l{k}") - F.col("top")) for k in range(1, len(logs))), F.pow(F.lit(10.0), F.col("l0") - F.col("top"))))
-    named = whole.withColumns({f"l{k}": x for k, x in enumerate(logs)} | {"top": top})
+    added = lambda k: F.coalesce(F.try_element_at("more", k), F.lit(0.0))
+    logs = F.transform("by", lambda x, k: x + added(F.lit(-1)) + F.when(k > 0, added((k - 1).cast("int"))).otherwise(0.0))
+    named = whole.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
+    marginal = F.col("top") + F.log10(F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), x - F.col("top"))))
     return named.select(
-        id_column,
+        F.col("id").alias(id_column),
         F.col("n").alias("n_tokens"),
         plus("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),

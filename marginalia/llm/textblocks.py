@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = (1 << 20) - 1
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
 #: One random 64-bit value a byte, and an odd multiplier with its inverse mod 2**64.

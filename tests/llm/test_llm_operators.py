@@ -239,6 +239,58 @@ def test_lm_base_equals_brute_force(odd):
     assert lm.op8_lm(empty(odd)).count() == 0
 
 
+def test_lm_score_equals_brute_force(spark):
+    """The marginal over segmentations, word arcs and languages, enumerated path by path."""
+    rows = [(1, "ab abc the", "en"), (2, "the the ab", "en"), (3, "le la le", "fr"), (4, "la abz", None), (5, "the zé ab", "fr"), (6, None, "en"), (6, "the le", "de"), (None, "", "en"), (20, "qu'la THE", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = F.coalesce(F.col("doc_id") < 6, F.lit(False))
+    pieces = lm.Pieces.load()
+    words = {k: [WORD.findall(lowered(t)) for i, t, x in rows if i is not None and i < 6 and k in (x, None)] for k in (None, "en", "fr")}
+    counts = {k: Counter(w for own in v for w in own) for k, v in words.items()}
+    types = spark.createDataFrame([(w.encode(), 1) for w in counts[None]], "word binary, c long")
+    lattice = lm.learn(types, pieces)
+    start = {s: np.exp(x) for s, x in zip(pieces.start, lattice.log_start, strict=True)}
+    cont = {s: np.exp(x) for s, x in zip(pieces.cont, lattice.log_cont, strict=True)}
+    go, stop, empty_start = np.exp(lattice.log_go), np.exp(lattice.log_stop), np.exp(lattice.log_empty)
+
+    def spelled(w):
+        def rest(x, first):
+            if not x:
+                return 0.0 if first else stop
+            return sum((1 if first else go) * cont.get(x[:k], 0) * rest(x[k:], False) for k in range(1, len(x) + 1))
+
+        return sum(start.get(w[:k], 0) * rest(w[k:], False) for k in range(1, len(w) + 1)) + empty_start * rest(w, True)
+
+    def model(k):
+        own, ends = counts[k], len(words[k])
+        total, once, twice = sum(own.values()) + ends, sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
+        cut = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+        return lambda w, lower: (max(own[w] - cut, 0) + cut * len(own) * lower) / total, ends / total, ends
+
+    general, end, n = model(None)
+    models = {k: model(k) for k in ("en", "fr")}
+    rest = max(n - sum(m[2] for m in models.values()), 1)
+    whole = rest + sum(m[2] for m in models.values())
+
+    def want(text):
+        tokens = WORD.findall(lowered(text))
+        of_all = [general(w, spelled(w.encode())) for w in tokens]
+        p = rest / whole * end * np.prod(of_all)
+        for own, own_end, own_n in models.values():
+            p += own_n / whole * own_end * np.prod([own(w, x) for w, x in zip(tokens, of_all, strict=True)])
+        return np.log10(p)
+
+    got = lm.score(docs, train).collect()
+    assert sorted(round(r["score"], 8) for r in got) == sorted(round(want(t), 8) for _, t, _ in rows)
+    assert {(r["doc_id"], r["n_tokens"]) for r in got if r["doc_id"] == 6} == {(6, 1), (6, 3)}
+
+
+def test_lm_very_long_word(spark):
+    rows = [(k, t) for k, t in enumerate(["x" * 300_000, "tion" * 5000 + " and", "and and", "short"])]
+    got = lm.op8_lm(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_tokens"] for r in got) == [2, 2, 3, 3] and all(np.isfinite(r["score"]) for r in got)
+
+
 def test_lm_without_training_rows(odd):
     rows = lm.score(odd, F.lit(False)).collect()
     assert len(rows) == odd.count() and all(r["n_known"] == 0 and np.isfinite(r["score"]) for r in rows)

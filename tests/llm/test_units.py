@@ -256,3 +256,15 @@ def test_gathered_keeps_rows_and_lattice_counts_do_not_depend_on_batches():
     whole, parts = expected(spelled), [expected(b.column(0).to_pylist()) for b in small]
     for at in (0, 1, 2):
         assert np.allclose(whole[at], sum(p[at] for p in parts))
+
+
+def test_lattice_of_long_words_goes_arc_by_arc_alike(monkeypatch):
+    from marginalia.llm import lattice as module
+
+    model, spelled = Lattice.initial(Pieces.load()), [w.encode() for w in ("retitioning" * 9, "über", "x", "aaaa" * 9)]
+    raw, end = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum([len(w) for w in spelled])
+    begin = end - [len(w) for w in spelled]
+    one = model.log10(raw, begin, end), *model.expected(raw, begin, end, np.arange(1.0, 5.0))
+    monkeypatch.setattr(module, "LONG", 2)
+    two = model.log10(raw, begin, end), *model.expected(raw, begin, end, np.arange(1.0, 5.0))
+    assert all(np.allclose(a, b) for a, b in zip(one, two, strict=True))
