@@ -21,7 +21,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,11 +54,11 @@ NOISE = frozenset(
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|([!?][^>]*)>?|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
-_OPEN_END = re.compile(r"<[/!?A-Za-z][^>]*\Z")
+_OPEN = re.compile(r"<[/!?A-Za-z]")
 
 
 class Element:
-    __slots__ = ("tag", "label", "mark", "noisy", "parts", "children", "shape", "own", "index")
+    __slots__ = ("tag", "label", "mark", "noisy", "parts", "children", "shape", "size", "own", "index")
 
     def __init__(self, tag: str, names: list[str], roles: list[str] = ()):
         self.tag = tag
@@ -70,6 +69,7 @@ class Element:
         self.parts: list = []  # texts and elements, in order
         self.children: list[Element] = []
         self.shape = 0
+        self.size = 1
         self.own = ""
         self.index = -1
 
@@ -78,9 +78,9 @@ def parse(page: str) -> Element:
     """A forgiving DOM tree: unknown end tags are ignored, open elements end where they must."""
     root = Element("#root", [])
     stack, at, size = [root], 0, len(page)
-    end = _OPEN_END.search(page, max(0, size - 4096))
-    if end and "<!--" not in end[0][:4]:
-        page = page[: end.start()]
+    end = _OPEN.search(page, page.rfind(">") + 1)
+    if end and not page.startswith("<!--", end.start()):
+        page = page[: end.start()]  # a tag that never ends
         size = len(page)
     while at < size:
         m = _TAG.search(page, at)
@@ -106,8 +106,6 @@ def parse(page: str) -> Element:
                     break
                 if stack[k].tag in BLOCKS:
                     break
-        elif tag in SIBLING or tag == "li":
-            pass
         if tag in SIBLING:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag or (tag in ("dt", "dd") and stack[k].tag in ("dt", "dd")) or (tag in ("td", "th") and stack[k].tag in ("td", "th")):
@@ -154,16 +152,21 @@ def _finish(root: Element) -> None:
         if held[e.index]:
             e.noisy = e.tag in SILENT
         e.shape = hash((e.label, tuple(c.shape for c in e.children)))
+        e.size = 1 + sum(c.size for c in e.children)
         e.own = " ".join("".join(x for x in e.parts if isinstance(x, str)).split())
 
 
 def align(a: Element, b: Element) -> list[tuple[Element, Element]]:
-    """Simple tree matching: pairs of the largest top-down, order-preserving match."""
+    """Simple tree matching: pairs of the largest top-down, order-preserving match.
+
+    Without recursion, so the depth of a page is not bounded.
+    """
     pairs: list[tuple[Element, Element]] = []
     if a.label != b.label:
         return pairs
-    todo = [(a, b)]
     sizes: dict[tuple[int, int], int] = {}
+    _measure(a, b, sizes)
+    todo = [(a, b)]
     while todo:
         x, y = todo.pop()
         pairs.append((x, y))
@@ -171,37 +174,56 @@ def align(a: Element, b: Element) -> list[tuple[Element, Element]]:
     return pairs
 
 
-def _weight(a: Element, b: Element, sizes: dict[tuple[int, int], int]) -> int:
-    """Size of the match of two subtrees; 0 where the labels differ."""
+def _known(a: Element, b: Element, sizes: dict[tuple[int, int], int]) -> int | None:
+    """Size of the match of two subtrees, 0 where the labels differ; None where it is still to be measured."""
     if a.label != b.label:
         return 0
+    if a.shape == b.shape:
+        return a.size
     if not a.children or not b.children:
         return 1
-    key = (a.index, b.index)
-    if key not in sizes:
-        sizes[key] = 1 + sum(_weight(x, y, sizes) for x, y in _children(a.children, b.children, sizes))
-    return sizes[key]
+    return sizes.get((a.index, b.index))
 
 
-def _children(left: list[Element], right: list[Element], sizes: dict[tuple[int, int], int]) -> list[tuple[Element, Element]]:
-    """The best pairing of two lists in order; equal shapes at either end pair at once."""
+def _measure(a: Element, b: Element, sizes: dict[tuple[int, int], int]) -> None:
+    """Fill ``sizes`` for all pairs of subtrees that the match of two trees may ask for, the deepest first."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        if _known(x, y, sizes) is not None:
+            todo.pop()
+            continue
+        lo, n, m = _trimmed(x.children, y.children)
+        lacking = [(p, q) for p in x.children[lo:n] for q in y.children[lo:m] if _known(p, q, sizes) is None]
+        if lacking:
+            todo += lacking
+            continue
+        sizes[x.index, y.index] = 1 + sum(_known(p, q, sizes) for p, q in _children(x.children, y.children, sizes))
+        todo.pop()
+
+
+def _trimmed(left: list[Element], right: list[Element]) -> tuple[int, int, int]:
+    """First place, and end on either side, of what is left when equal shapes at both ends are taken off."""
     lo, n, m = 0, len(left), len(right)
-    out = []
     while lo < min(n, m) and left[lo].shape == right[lo].shape:
-        out.append((left[lo], right[lo]))
         lo += 1
-    tail = []
     while n > lo and m > lo and left[n - 1].shape == right[m - 1].shape:
         n, m = n - 1, m - 1
-        tail.append((left[n], right[m]))
+    return lo, n, m
+
+
+def _children(left: list[Element], right: list[Element], sizes: dict[tuple[int, int], int]) -> list[tuple[Element, Element]]:
+    """The best pairing of two lists in order; equal shapes at either end pair at once."""
+    lo, n, m = _trimmed(left, right)
+    out = [*zip(left[:lo], right[:lo], strict=True), *zip(left[n:], right[m:], strict=True)]
     a, b = left[lo:n], right[lo:m]
     if a and b:
-        best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int64).tolist()
-        gain = [[_weight(x, y, sizes) for y in b] for x in a]
-        for i in range(1, len(a) + 1):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
             row, above = best[i], best[i - 1]
-            for j in range(1, len(b) + 1):
-                row[j] = max(above[j], row[j - 1], above[j - 1] + gain[i - 1][j - 1] if gain[i - 1][j - 1] else 0)
+            for j, y in enumerate(b, 1):
+                gain = _known(x, y, sizes)
+                row[j] = max(above[j], row[j - 1], above[j - 1] + gain if gain else 0)
         i, j = len(a), len(b)
         while i and j:
             if best[i][j] == best[i - 1][j]:
@@ -211,7 +233,7 @@ def _children(left: list[Element], right: list[Element], sizes: dict[tuple[int,
             else:
                 i, j = i - 1, j - 1
                 out.append((a[i], b[j]))
-    return out + tail
+    return out
 
 
 def main_text(root: Element, template: set[int]) -> str:

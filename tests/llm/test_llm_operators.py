@@ -226,6 +226,26 @@ def test_html_every_layout_of_a_host_has_a_reference(spark):
     assert got == {0: "Home 0"} | {k: f"P{k}\n\nText {k}" for k in range(1, 7)} | {k: f"Item {k}" for k in range(7, 13)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_html_template_decides_whatever_tags_and_classes_are_called(spark, seed):
+    """Names tell nothing: constant nodes go, varying slots stay."""
+    rng = np.random.default_rng(seed)
+    tag = dict(zip("abcdef", rng.permutation("div section ul table p h2".split()), strict=True))
+    name = ["".join(rng.choice(list("qxzvkj"), 7)) for _ in range(6)]
+    page = (
+        f"<html><body><{tag['a']} class='{name[0]}'>Home Shop About</{tag['a']}><{tag['a']} class='{name[1]}'><{tag['b']} class='{name[2]}'>Title {{0}}</{tag['b']}>"
+        f"<{tag['b']} class='{name[3]}'>Story {{0}} of many words</{tag['b']}></{tag['a']}><{tag['a']} class='{name[4]}'>All rights reserved</{tag['a']}></body></html>"
+    )
+    assert extracted(spark, [page.format(k) for k in range(6)]) == {k: f"Title {k}\n\nStory {k} of many words" for k in range(6)}
+
+
+def test_html_deep_long_and_repeated_pages(spark):
+    deep = "<div>" * 5000 + "<p>Menu</p><p>Deep {}</p>"
+    pages = [deep.format(k) for k in range(5)] + ["<p>Menu</p>" + "<p>" + "long " * 200_000 + "</p>", None, ""]
+    got = extracted(spark, pages)
+    assert [got[k] for k in range(5)] == [f"Deep {k}" for k in range(5)] and got[5].endswith("long") and got[6] == got[7] == ""
+
+
 def test_lm_base_equals_brute_force(odd):
     rows = odd.collect()
     tokens = [[*WORD.findall(lowered(r["text"])), None] for r in rows]

@@ -229,6 +229,46 @@ def test_tree_matching_aligns_by_order():
     assert sorted(tags) == sorted([("#root", "#root"), ("div", "div"), ("h1", "h1"), ("ul", "ul"), ("li", "li"), ("p", "p")])
 
 
+def brute_match(a, b):
+    """Size of the largest order-preserving top-down match, by trying all."""
+    if a.label != b.label:
+        return 0
+
+    def lists(x, y):
+        if not x or not y:
+            return 0
+        own = brute_match(x[0], y[0])
+        return max(lists(x[1:], y), lists(x, y[1:]), own + lists(x[1:], y[1:]) if own else 0)
+
+    return 1 + lists(a.children, b.children)
+
+
+def test_alignment_is_the_largest_match():
+    rng = np.random.default_rng(5)
+
+    def tree(depth):
+        tag = "div span b".split()[rng.integers(3)]
+        inner = "".join(tree(depth - 1) for _ in range(rng.integers(0, 4))) if depth else ""
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(60):
+        a, b = htmltext.parse(tree(3)), htmltext.parse(tree(3))
+        pairs = htmltext.align(a, b)
+        assert len(pairs) == brute_match(a, b)
+        assert all(x.label == y.label for x, y in pairs) and len({x.index for x, _ in pairs}) == len({y.index for _, y in pairs}) == len(pairs)
+
+
+def test_deep_pages_are_aligned():
+    deep = ["<div>" * 5000 + f"<p>text {k}</p>" + "<b>x</b>" * k for k in range(2)]
+    pairs = htmltext.align(*(htmltext.parse(p) for p in deep))
+    assert len(pairs) == 5002 and htmltext.main_text(htmltext.parse(deep[0]), set()) == "text 0"
+
+
+def test_a_tag_that_never_ends_is_no_text():
+    assert htmltext.main_text(htmltext.parse("<p>a</p><div title='" + "x " * 5000), set()) == "a"
+    assert htmltext.main_text(htmltext.parse("<p>a &lt; b 1 < 2</p>"), set()) == "a < b 1 < 2"
+
+
 def test_crc_of_pieces():
     ids = np.arange(5, dtype="<u4")
     assert zlib.crc32(ids[1:3].tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
