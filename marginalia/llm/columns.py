@@ -59,11 +59,25 @@ def extended(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def small_batches(spark) -> None:
-    """Send whole texts to Python in batches of 1000 rows where the session has Spark's default of 10000.
+#: Rows of an Arrow batch: whole texts are held in the JVM and in the worker at once, vectors are small.
+TEXTS, VECTORS = 1000, 10000
+
 
-    A batch of texts is held in the JVM and in the worker at once.
+def batches_of(spark, rows: int) -> None:
+    """Size of the batches that go to Python, for the query that is made next, whatever ran before.
+
+    A session whose setting is neither of ours keeps its own.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+    if spark.conf.get(name) in (str(TEXTS), str(VECTORS)):
+        spark.conf.set(name, str(rows))
+
+
+def set_aside(df: DataFrame, *taken: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names renamed, and how to name them back with ``withColumnsRenamed``."""
+    names = {c: f"__own_{c}" for c in df.columns if c in taken}
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
+def small_batches(spark) -> None:
+    batches_of(spark, TEXTS)

@@ -33,15 +33,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(tied.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root for every node with an edge; root is the least node of its component.
 
     Self-loops and repeated edges are allowed and change nothing; an empty edge
-    table gives no rows.
+    table gives no rows.  Rounds go on until one changes nothing; their number
+    grows with the logarithm of a component's size.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct()
     now, before = materialize(now, "cc"), None
-    for _ in range(rounds):
+    while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark["n"] == 0 or mark == before:
             roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
@@ -50,4 +51,3 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         step = materialize(_small_star(_large_star(now)).distinct(), "cc")
         release(now)
         now = step
-    raise RuntimeError("components did not settle")

@@ -62,19 +62,22 @@ def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
     return h
 
 
+_EDGES = 2.0 ** -np.arange(0, REST + 1)
+
+
+def levels(size: np.ndarray) -> np.ndarray:
+    """For sets of these sizes, the probability of each count of leading zeros in a register."""
+    load = np.maximum(np.asarray(size, dtype=np.float64) / BUCKETS, 1.0)[:, None]
+    below = -np.expm1(load * np.log1p(-np.minimum(_EDGES, 1 - 1e-12))[None])
+    return below[:, :-1] - below[:, 1:]
+
+
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Expected share of registers of two disjoint sets that agree by accident.
 
     For each count of leading zeros, the probability that both smallest hashes
     have it, over the mantissas that could differ.
     """
-    edges = 2.0 ** -np.arange(0, REST + 1)
-
-    def levels(size: np.ndarray) -> np.ndarray:
-        load = np.maximum(np.asarray(size, dtype=np.float64) / BUCKETS, 1.0)[:, None]
-        below = -np.expm1(load * np.log1p(-np.minimum(edges, 1 - 1e-12))[None])
-        return below[:, :-1] - below[:, 1:]
-
     return (levels(n) * levels(m)).sum(1) / (1 << MANTISSA)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.columns import record_batch, require
 from marginalia.llm.components import components
-from marginalia.llm.hyperminhash import BUCKETS, band_keys, chance, sketch
+from marginalia.llm.hyperminhash import BUCKETS, MANTISSA, band_keys, levels, sketch
 from marginalia.llm.textblocks import blocks, mix, shingles, words
 from marginalia.scratch import materialize
 
@@ -175,18 +175,19 @@ def candidate_groups(nodes: DataFrame, threshold: float) -> DataFrame:
             own = order[lo:hi]
             left, right = _sides(block[own], int(bi[own[0]]), int(bj[own[0]]))
             forest = Forest(len(own))
-            ours = registers[own]
+            ours, sizes = registers[own], size[own]
+            places = levels(sizes)
             for k, i in enumerate(left):
                 js = right[k + 1 :] if bi[own[0]] == bj[own[0]] else right
                 if not len(js):
                     continue
-                n, m = size[own[i]], size[own[js]]
+                n, m = sizes[i], sizes[js]
                 near = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
-                js, m = js[near], m[near]
+                js = js[near]
                 if not len(js):
                     continue
                 agree = (ours[js] == ours[i]).mean(axis=1)
-                accident = chance(np.array([n]), m) if len(js) < 8 else chance(np.array([n]), np.array([m.min()]))
+                accident = places[js] @ places[i] / (1 << MANTISSA)
                 js = js[(agree - accident) / (1 - accident) >= least]
                 for j in js:
                     forest.join(int(i), int(j))

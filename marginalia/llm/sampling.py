@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from marginalia.llm.columns import hash_rate
 
 
+#: Labels whose rates may be broadcast.
+FEW_LABELS = 10_000
+
+
 def per_label(rows: DataFrame, label: str, id_column: str, cap: int, seed: str) -> DataFrame:
-    """About ``cap`` rows a label at most, chosen by a hash of the id.
+    """About ``cap`` rows a label at most, chosen by a hash of the id; rows without a label are left out.
 
     One count per label (map-side combined) gives the rates; the sample is then
-    a filter, so no label is sorted or gathered.  The counts and rates that
-    reach the driver are one row a label.
+    a filter, so no label is sorted or gathered, and none comes to the driver.
     """
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return rows.limit(0)
-    rate = None
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        hit, this = F.col(label) == F.lit(value), F.lit(min(1.0, cap / n))
-        rate = F.when(hit, this) if rate is None else rate.when(hit, this)
-    return rows.filter(hash_rate(F.col(id_column), seed) < rate)
+    rates = rows.groupBy(F.col(label).alias("__label")).agg(F.least(F.lit(1.0), F.lit(float(cap)) / F.count("*")).alias("__rate"))
+    if rates.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
+        rates = F.broadcast(rates)
+    kept = rows.join(rates, F.col(label) == F.col("__label")).filter(hash_rate(F.col(id_column), seed) < F.col("__rate"))
+    return kept.drop("__label", "__rate")
