@@ -10,33 +10,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import langid, mixing, neardedup, packing, quality
-from marginalia.llm.columns import held_out, small_batches
+from marginalia.llm.columns import TEXTS, batches_of, held_out, set_aside
 from marginalia.scratch import materialize
 from marginalia.tables import table
 
 
+#: A language is told where the model is surer of it than not.
+SURE = 0.5
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.7 or more, learned from labels of the rows not held out."""
-    small_batches(spark)
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
-    return quality.score(docs, model).filter(F.col("score") >= 0.7).select(*docs.columns)
+    """Documents that the quality classifier scores 0.7 or more, learned from labels of the rows not held out.
+
+    A null text is scored as an empty one, a null id trains nothing; repeated rows
+    are scored each; without labels or with one kind of label alone every row
+    gets the same score; an empty table stays empty.  The caller's columns come
+    out as they were, one named ``score`` among them.
+    """
+    batches_of(spark, TEXTS)
+    rows, back = set_aside(docs, "score")
+    model = quality.fit(rows, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
+    return quality.score(rows, model).filter(F.col("score") >= 0.7).drop("score").withColumnsRenamed(back).select(*docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language that can be told: ``und`` goes."""
-    small_batches(spark)
-    model = langid.fit(docs, ~held_out(F.col("doc_id"), 3, 1))
-    return langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    """Documents whose language the model tells with a score of ``SURE`` or more.
+
+    Without a letter, with a null or empty text, or where no row names a
+    language to learn from, none can be told and the row goes.  Repeated rows
+    go or stay together; an empty table stays empty.  The caller's columns come
+    out as they were, ``lang_pred`` and ``score`` among them.
+    """
+    batches_of(spark, TEXTS)
+    rows, back = set_aside(docs, "lang_pred", "score")
+    found = langid.identify(rows, langid.fit(rows, ~held_out(F.col("doc_id"), 3, 1)))
+    told = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE))
+    return told.drop("lang_pred", "score").withColumnsRenamed(back).select(*docs.columns)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the least id; rows of one id and one text are one document.
+    """One document of each group of near copies (five words, 0.8), the least id; rows of one id and one text are one document.
+
+    Texts without words (null, empty, white space) are copies of nothing and
+    stay; an empty table stays empty; other columns are not read.
 
     Where ids repeat or are null, rows are told apart by id and text: each stays
     or goes by its own text, and a row without an id goes only where a row that
     stays, with an id if there is one, is its near copy.
     """
-    small_batches(spark)
+    batches_of(spark, TEXTS)
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter((F.col("rows") > 1) | F.col("doc_id").isNull())
     if repeated.isEmpty():
         found = materialize(neardedup.near_duplicates(docs), "kept-copies")
@@ -60,14 +82,18 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source, each document as often as it is taken."""
-    small_batches(spark)
+    """The mix by source, each document as often as it is taken, up to three times.
+
+    A null source is a source, the last; a null or empty text has no word and is
+    taken at its source's rate; rows without an id share one draw.
+    """
+    batches_of(spark, TEXTS)
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens over the mix."""
-    small_batches(spark)
+    """Sequences of at most 1024 tokens over the mix; a null or empty text is its end alone, each copy is packed."""
+    batches_of(spark, TEXTS)
     return packing.op5_packing(docs)
 
 
