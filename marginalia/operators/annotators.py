@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.records import pending
+from marginalia.operators.spans import split_by_overlap
 
 #: text -> [{start, end, label}] (offsets in code points).
 Annotator = Callable[[str], list[dict]]
@@ -62,20 +63,15 @@ def run_panel(passages: DataFrame, annotators: dict[str, Annotator], done: DataF
     return work.mapInPandas(annotate, PANEL_FIELDS)
 
 
-def _meets(a: str, b: str, pid: str) -> Column:
-    return (F.col(f"{a}.{pid}") == F.col(f"{b}.{pid}")) & (F.col(f"{a}.start") < F.col(f"{b}.end")) & (F.col(f"{b}.start") < F.col(f"{a}.end"))
-
-
 def suppressed(spans: DataFrame, taken: DataFrame, pid: str = "pid") -> DataFrame:
     """The spans that overlap none of ``taken``: a dictionary's hit beats a model's."""
-    return spans.alias("s").join(taken.select(pid, "start", "end").alias("t"), _meets("s", "t", pid), "left_anti")
+    return split_by_overlap(spans, taken, pid).filter(~F.col("__met")).drop("__met")
 
 
 def gold_label(clusters: DataFrame, gold: DataFrame, pid: str = "pid", hit: str = "PLACE", miss: str = "REJECT") -> DataFrame:
     """clusters with ``gold``: ``hit`` where any gold span overlaps, else ``miss``."""
-    met = clusters.alias("c").join(gold.select(pid, "start", "end").alias("g"), _meets("c", "g", pid), "left_semi").select(pid, "start", "end").distinct()
-    marked = clusters.join(met.withColumn("__hit", F.lit(True)), [pid, "start", "end"], "left")
-    return marked.withColumn("gold", F.when(F.col("__hit"), hit).otherwise(miss)).drop("__hit")
+    marked = split_by_overlap(clusters, gold, pid)
+    return marked.withColumn("gold", F.when(F.col("__met"), hit).otherwise(miss)).drop("__met")
 
 
 def without(spans: DataFrame, excluded: DataFrame, pid: str = "pid") -> DataFrame:

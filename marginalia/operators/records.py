@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import dedupe_key
+from marginalia.functions.text import SPACE, dedupe_key
 
 
 def first_wins(rows: DataFrame, key: Column, order: str) -> DataFrame:
@@ -33,31 +33,87 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed: str = "2026") -> DataFr
     return rows.orderBy(hash_order(seed, F.col(key)), key).limit(n)
 
 
+def _levelled(rows: DataFrame, value: str, cut: Column) -> DataFrame:
+    """Add ``__less``: what each stratum gives up when ``cut`` units are taken one by one from the largest, the first on ties.
+
+    What is left of each is at most a level; the units that the level does not
+    account for stay with the last of those that reach it.
+    """
+    down = Window.orderBy(F.desc(value), F.desc("stratum")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy()
+    v = F.col(value)
+    spare = F.floor((F.sum(v).over(down) - cut) / F.count("*").over(down))
+    level = F.greatest(F.max(spare).over(every), F.lit(0))
+    rows = rows.withColumn("__level", level)
+    left = F.sum(F.greatest(v - F.col("__level"), F.lit(0))).over(every) - cut
+    rows = rows.withColumn("__left", left)
+    above = F.when(v > F.col("__level"), 1)
+    keeps = F.sum(F.when(v > F.col("__level"), 1).otherwise(0)).over(Window.orderBy(F.desc("stratum")).rowsBetween(Window.unboundedPreceding, 0)) <= F.col("__left")
+    less = F.when(above == 1, v - F.col("__level") - F.when(keeps, 1).otherwise(0)).otherwise(0)
+    return rows.withColumn("__less", F.when(cut > 0, less).otherwise(0)).drop("__level", "__left")
+
+
 def allocate(strata: DataFrame, want: int) -> DataFrame:
-    """stratum, size, quota: shares in proportion, one at the least, trimmed or filled to ``want``.
+    """stratum, size, quota: shares in proportion, one at the least, trimmed or filled to ``want`` exactly.
 
-    Runs on the table of strata: excess comes off the largest quotas first (ties
-    by stratum), what lacks goes where most is left.
+    What is too much comes off the largest quotas, one unit at a time (a quota
+    may fall to none, where there are more strata than ``want``); what lacks goes
+    where most is left; ties to the first stratum.  All rows where there are
+    fewer than ``want``.  Works on the table of strata, a row each.
     """
     every = Window.partitionBy()
-    base = F.greatest(F.lit(1), F.round(F.lit(float(want)) * F.col("size") / F.sum("size").over(every)).cast("int"))
-    rows = strata.withColumn("quota", F.least(base, F.col("size").cast("int")))
-    gap = F.col("total") - want
-    rows = rows.withColumn("total", F.sum("quota").over(every))
-    # One unit at a time from the top: unit u of a stratum is worth its height.
-    units = rows.select("stratum", "quota", "size", "total", F.explode(F.sequence(F.lit(1), F.greatest(F.col("quota"), F.col("size").cast("int")))).alias("u"))
-    cut = units.filter((F.col("u") > 1) & (F.col("u") <= F.col("quota"))).withColumn("r", F.row_number().over(Window.orderBy(F.desc("u"), "stratum"))).filter(F.col("r") <= gap)
-    add = units.filter(F.col("u") > F.col("quota")).withColumn("r", F.row_number().over(Window.orderBy(F.desc(F.col("size") - F.col("u")), "stratum"))).filter(F.col("r") <= -gap)
-    change = cut.groupBy("stratum").agg((-F.count("*")).alias("d")).union(add.groupBy("stratum").agg(F.count("*").alias("d")))
-    return rows.join(change, "stratum", "left").select("stratum", "size", (F.col("quota") + F.coalesce("d", F.lit(0))).cast("int").alias("quota"))
-
-
-def stratified_sample(rows: DataFrame, stratum: str, key: str, want: int, seed: str = "2026") -> DataFrame:
-    """A proportional sample over strata, members by hash order within each."""
-    quotas = allocate(rows.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("size")), want)
+    total = F.sum("size").over(every)
+    rows = strata.withColumn("__want", F.least(F.lit(want).cast("long"), total))
+    rows = rows.withColumn("quota", F.least(F.greatest(F.lit(1), F.bround(F.col("__want").cast("double") * F.col("size") / total)).cast("long"), F.col("size")))
+    rows = rows.withColumn("__gap", F.sum("quota").over(every) - F.col("__want"))
+    rows = _levelled(rows, "quota", F.greatest(F.col("__gap"), F.lit(0))).withColumnRenamed("__less", "__cut").withColumn("__slack", F.col("size") - F.col("quota"))
+    rows = _levelled(rows, "__slack", F.greatest(-F.col("__gap"), F.lit(0)))
+    return rows.select("stratum", "size", (F.col("quota") - F.col("__cut") + F.col("__less")).cast("long").alias("quota"))
+
+
+def top_by_hash(rows: DataFrame, stratum: str, key: str, quotas: DataFrame, seed: str) -> DataFrame:
+    """The first ``quota`` rows of each stratum by hash order; quotas: stratum, quota.
+
+    Every partition cuts its strata to the largest quota before the shuffle.
+    """
+    most = quotas.agg(F.max("quota").alias("most")).first()["most"] or 0
     order = Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)), key)
-    ranked = rows.withColumn("rank", F.row_number().over(order))
-    return ranked.join(F.broadcast(quotas.select(F.col("stratum").alias("__s"), "quota")), F.col(stratum).eqNullSafe(F.col("__s"))).filter(F.col("rank") <= F.col("quota")).drop("rank", "quota", "__s")
+    ranked = rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most)
+    own = quotas.select(F.col("stratum").alias("__stratum"), F.col("quota").alias("__quota"))
+    return ranked.join(own, F.col(stratum).eqNullSafe(F.col("__stratum"))).filter(F.col("__rank") <= F.col("__quota")).drop("__rank", "__quota", "__stratum")
+
+
+def stratified_sample(rows: DataFrame, stratum: str, key: str, want: int, seed: str = "2026", positive: Column | None = None, negative_share: float = 0.0) -> DataFrame:
+    """A proportional sample over strata, members by hash order within each.
+
+    With ``positive``, ``negative_share`` of the sample is drawn from the rows
+    where it does not hold, in proportion to their own strata; where there are
+    fewer of those, positives fill up.
+    """
+    if positive is None:
+        quotas = allocate(rows.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("size")), want)
+        return top_by_hash(rows, stratum, key, quotas, seed)
+    marked = rows.withColumn("__positive", F.coalesce(positive, F.lit(False)))
+    sizes = {r["__positive"]: r["n"] for r in marked.groupBy("__positive").agg(F.count("*").alias("n")).collect()}  # two rows
+    want = min(want, sum(sizes.values()))
+    negative = min(round(want * negative_share), sizes.get(False, 0))
+    halves = [stratified_sample(marked.filter(F.col("__positive") == side), stratum, key, n, seed) for side, n in ((True, want - negative), (False, negative))]
+    return halves[0].unionByName(halves[1]).drop("__positive")
+
+
+def simple_sample(rows: DataFrame, stratum: str, key: str, want: int, positive: Column, negative_share: float, seed: str = "2026") -> DataFrame:
+    """Positives in proportion to their strata (one each at the least, cut to the number wanted), then negatives at random.
+
+    Nothing is filled up: strata that are too small leave the sample short.
+    """
+    marked = rows.withColumn("__positive", F.coalesce(positive, F.lit(False)))
+    sizes = {r["__positive"]: r["n"] for r in marked.groupBy("__positive").agg(F.count("*").alias("n")).collect()}  # two rows
+    negative = min(sizes.get(False, 0), round(want * negative_share))
+    wanted, total = want - negative, max(sizes.get(True, 0), 1)
+    good = marked.filter("__positive")
+    quotas = good.groupBy(F.col(stratum).alias("stratum")).agg(F.greatest(F.lit(1), F.bround(F.lit(float(wanted)) * F.count("*") / F.lit(total))).cast("long").alias("quota"))
+    picked = hash_sample(top_by_hash(good, stratum, key, quotas, seed), key, wanted, f"{seed}+")
+    return picked.unionByName(hash_sample(marked.filter(~F.col("__positive")), key, negative, seed)).drop("__positive")
 
 
 def qa_pairs(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", asks: str = "user", answers: str = "assistant") -> DataFrame:
@@ -126,6 +182,24 @@ def strict_sum(value: Column) -> Column:
     return F.when(F.count("*") == F.count(value), F.sum(value))
 
 
+def shingles(passages: DataFrame, key: str, width: int = 5, text: str = "text") -> DataFrame:
+    """key, shingle of every run of ``width`` words, in the row; shorter texts have none."""
+    words = passages.select(key, F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)).alias("__w")).filter(F.size("__w") >= width)
+    made = F.expr(f"transform(sequence(1, size(__w) - {width - 1}), i -> array_join(slice(__w, i, {width}), ' '))")
+    return words.select(key, F.explode(made).alias("shingle"))
+
+
+def contained(items: DataFrame, held: DataFrame, key: str, least: float = 0.8) -> DataFrame:
+    """key, shingles, found of the items of whose distinct shingles ``least`` or more are in ``held``.
+
+    The items' shingles are few; what holds them is cut to them before it is made distinct.
+    """
+    mine = items.distinct()
+    met = held.join(mine.select("shingle").distinct(), "shingle", "left_semi").distinct().withColumn("__found", F.lit(True))
+    sums = mine.join(met, "shingle", "left").groupBy(key).agg(F.count("*").alias("shingles"), F.count("__found").alias("found"))
+    return sums.filter(F.col("found") >= least * F.col("shingles"))
+
+
 def cooccurrence(words: DataFrame, pid: str = "pid", term: str = "term") -> DataFrame:
     """source, target, weight: undirected pairs of distinct terms of a passage."""
     once = words.select(pid, term).distinct()

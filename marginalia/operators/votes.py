@@ -68,12 +68,15 @@ def dawid_skene(votes: DataFrame, labels: list[str], voters: list[str], rounds:
 
     Items with the same votes have the same posterior, so the iteration works on
     the distinct patterns and their counts, and posteriors are joined back.
-    ``patterns`` on the driver are at most (labels + 1) ** voters.
+    ``patterns`` on the driver are at most (labels + 1) ** voters.  Without votes
+    there are no rows.
     """
     known = F.when(F.col("label").isin(labels), F.col("label")).otherwise(ABSTAIN)
     wide = votes.withColumn("label", known).groupBy("item").pivot("voter", voters).agg(F.min("label")).na.fill(ABSTAIN, voters)
     wide = wide.withColumn("pattern", F.concat_ws("|", *[F.col(f"`{v}`") for v in voters]))
     patterns = wide.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
+    if not len(patterns):
+        return wide.select("item", F.lit(None).cast("string").alias("latent"), F.lit(None).cast("double").alias("posterior"))
     latent, seen = [*labels, REJECT], [*labels, ABSTAIN]
     code = np.array([[seen.index(x) for x in p.split("|")] for p in patterns["pattern"]])
     n = patterns["n"].to_numpy(float)

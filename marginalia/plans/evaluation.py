@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import annotators as A, evaluate as E, narrative as N, records as R, spans as S, votes as V
-from marginalia.plans.registry import CAPITAL, DOC_TOKENS, SQL_VOTES, TOKENS, VOTERS, query, turns, voters, votes
+from marginalia.plans.registry import CAPITAL, DOC_TOKENS, EVERY_VOTER, SQL_SENTENCES, SQL_VOTES, TOKENS, VOTERS, query, turns, voters, votes
 from marginalia.sources import catalogue as C
 from marginalia.tables import table
 
-NOUNS = ["hill", "lake", "river", "valley", "mountain", "road", "forest"]
-STOPS = ["The", "And", "But", "This", "That", "Then"]
 MEETS = 'x.pid = y.pid AND x.start < y."end" AND y.start < x."end"'
 
 
@@ -28,8 +28,7 @@ def cluster_gold(spark, d):
     return A.gold_label(v["capital"].select("pid", "start", "end"), v["long"])
 
 
-@query(VOTERS + """, u AS (SELECT *, 'capital' AS voter FROM a UNION ALL SELECT *, 'long' FROM b UNION ALL SELECT *, 'comma' FROM c)
-SELECT voter, CAST(count(*) AS BIGINT) AS n FROM u WHERE NOT (voter = 'capital' AND pid IN (SELECT pid FROM p WHERE turn = 0)) GROUP BY 1""")
+@query(EVERY_VOTER + """ SELECT voter, CAST(count(*) AS BIGINT) AS n FROM u WHERE NOT (voter = 'capital' AND pid IN (SELECT pid FROM p WHERE turn = 0)) GROUP BY 1""")
 def excluded_pairs(spark, d):
     v = voters(spark, d)
     seen = turns(spark, d).filter("turn = 0").select("pid", F.lit("capital").alias("voter"))
@@ -116,30 +115,39 @@ def adjudication_queue(spark, d):
     return E.queue(V.profile(votes(spark, d)), "item", "unanimous")
 
 
-FOLD = r"lower(trim(regexp_replace(translate({0}, 'ſ‘’“”–—', 's''''\"\"--'), '\s+', ' ', 'g'), ' '))".replace('\\"', '"')
-BARE = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
-WORDS = r"string_split(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+def fold_sql(x: str) -> str:
+    """Long s, accents, quotes and dashes folded, white space collapsed, lower case."""
+    quotes = "".join(map(chr, [0x2018, 0x2019, 0x201C, 0x201D, *range(0x2010, 0x2016)]))
+    plain = "'" * 4 + '""------'
+    return f"lower(trim(regexp_replace(translate(strip_accents(replace({x}, 'ſ', 's')), '{quotes}', '{plain}'), '[{T.SPACE}]+', ' ', 'g'), ' '))"
 
 
-@query(f"""WITH q AS (SELECT doc_id, text, unnest([substr(text, 11, 24), replace(substr(text, 11, 24), ' ', '  '), replace(substr(text, 11, 24), ' ', ''), array_to_string(list_reverse(string_split(substr(text, 11, 24), ' ')), ' '), 'zq ' || substr(text, 11, 24), '']) AS quote FROM documents),
-n AS (SELECT *, {FOLD.format("quote")} AS nq, {FOLD.format("text")} AS nt FROM q),
-r AS (SELECT CASE WHEN length(trim(coalesce(quote, ''), ' ')) = 0 THEN 'empty' WHEN contains(text, quote) THEN 'present_but_exhausted' WHEN contains(translate(text, 'ſ', 's'), translate(quote, 'ſ', 's')) THEN 'long_s_normalised' WHEN contains(nt, nq) THEN 'other_normalisation'
- WHEN length({BARE.format("quote")}) > 0 AND contains({BARE.format("text")}, {BARE.format("quote")}) THEN 'whitespace_or_punctuation'
- WHEN len(list_filter({WORDS.format("nq")}, lambda w: length(w) > 0)) > 0 AND list_has_all({WORDS.format("nt")}, list_filter({WORDS.format("nq")}, lambda w: length(w) > 0)) THEN 'words_present_reordered_or_gapped' ELSE 'not_in_passage_at_all' END AS reason, doc_id FROM n)
+@query("WITH " + SQL_SENTENCES + rf""", e AS (SELECT doc_id, trim(regexp_replace(sentence, '[{T.SPACE}]+', ' ', 'g'), ' ') AS s FROM sentences QUALIFY ord = 0 OR ord = max(ord) OVER (PARTITION BY doc_id)),
+q AS (SELECT doc_id, unnest([s, replace(s, ' ', '  '), replace(s, ' ', ''), array_to_string(list_reverse(string_split(s, ' ')), ' '), s || '!', 'zq ' || s, translate(s, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '']) AS quote FROM e),
+n AS (SELECT doc_id, quote, text, contains({fold_sql('text')}, {fold_sql('quote')}) AS folded, trim(quote, ' .,;:''"') AS bare, list_filter(regexp_split_to_array(quote, '[{T.SPACE}]+'), lambda w: length(w) > 0) AS ws FROM q JOIN documents USING (doc_id)),
+r AS (SELECT doc_id, CASE WHEN length(coalesce(quote, '')) = 0 THEN 'empty' WHEN contains(text, quote) THEN 'present_but_exhausted' WHEN folded AND contains(text, 'ſ') AND contains(translate(text, 'ſ', 's'), translate(quote, 'ſ', 's')) THEN 'long_s_normalised'
+  WHEN folded THEN 'other_normalisation' WHEN length(bare) > 0 AND contains(text, bare) THEN 'whitespace_or_punctuation' WHEN len(ws) > 0 AND len(list_filter(ws, lambda w: NOT contains(text, w))) = 0 THEN 'words_present_reordered_or_gapped' ELSE 'not_in_passage_at_all' END AS reason FROM n)
 SELECT doc_id, reason, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1, 2""")
 def miss_reasons(spark, d):
-    piece = F.substring("text", 11, 24)
-    made = F.array(piece, F.replace(piece, F.lit(" "), F.lit("  ")), F.replace(piece, F.lit(" "), F.lit("")), F.array_join(F.reverse(F.split(piece, " ")), " "), F.concat(F.lit("zq "), piece), F.lit(""))
-    quotes = table(spark, d, "documents").select("doc_id", "text", F.explode(made).alias("quote"))
+    """The first and the last sentence of each document, changed in seven ways, looked for in the whole text."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    each = T.sentences(docs, ["doc_id"])
+    ends = each.groupBy("doc_id").agg(F.max("ord").alias("last"))
+    s = F.trim(F.regexp_replace("sentence", f"[{T.SPACE}]+", " "))
+    picked = each.join(ends, "doc_id").filter((F.col("ord") == 0) | (F.col("ord") == F.col("last"))).select("doc_id", s.alias("s"))
+    x = F.col("s")
+    made = F.array(x, F.replace(x, F.lit(" "), F.lit("  ")), F.replace(x, F.lit(" "), F.lit("")), F.array_join(F.reverse(F.split(x, " ")), " "), F.concat(x, F.lit("!")), F.concat(F.lit("zq "), x), F.translate(x, string.ascii_lowercase, string.ascii_uppercase), F.lit(""))
+    quotes = picked.select("doc_id", F.explode(made).alias("quote")).join(docs, "doc_id")
     return quotes.groupBy("doc_id", T.miss_reason(F.col("quote"), F.col("text")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(DOC_TOKENS + r""", g AS (SELECT DISTINCT lower(word) AS term FROM tk)
-SELECT term, CASE WHEN length(term) <= 3 THEN 'short' WHEN term IN ('light', 'water') THEN 'denied' WHEN regexp_matches(term, '(?i)(man|men|woman|women|er|ers|ist|ists)$') THEN 'person' END AS risk FROM g""")
+SELECT term, CASE WHEN length(term) <= 3 THEN 'short' WHEN term IN ('roofer', 'broom', 'cathouse', 'second-floor', 'plumber', 'glazier', 'joiner', 'mason', 'carpenter', 'tiler') THEN 'denied'
+ WHEN regexp_matches(term, '(keeper|wright|smith|monger|maker|ist|man|men)$') AND NOT contains(term, ' ') THEN 'person' END AS risk FROM g""")
 def risky_terms(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text")
     terms = S.tokens(docs).select(F.lower("word").alias("term")).distinct()
-    return terms.select("term", T.risky_term(F.col("term"), ["light", "water"]).alias("risk"))
+    return terms.select("term", T.risky_term(F.col("term")).alias("risk"))
 
 
 @query("SELECT doc_id, sha1(encode('blob ' || CAST(strlen(text) AS VARCHAR)) || '\\x00'::BLOB || encode(text)) AS blob_id FROM documents")
@@ -147,11 +155,14 @@ def git_blob_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", T.git_blob_id(F.col("text")).alias("blob_id"))
 
 
-@query(r"""SELECT doc_id, CAST(CASE WHEN regexp_matches(substr(text, 11, 1), '[\p{L}\p{N}]') THEN 10 - length(regexp_extract(substr(text, 1, 10), '[\p{L}\p{N}]*$')) ELSE 10 END AS INTEGER) AS start,
-CAST(CASE WHEN regexp_matches(substr(text, 20, 1), '[\p{L}\p{N}]') THEN 20 + length(regexp_extract(substr(text, 21), '^[\p{L}\p{N}]*')) ELSE 20 END AS INTEGER) AS "end" FROM documents WHERE length(text) >= 20""")
+@query(r"""WITH m AS (SELECT doc_id, text, length(text) // 2 AS s, least(length(text), length(text) // 2 + 10) AS e FROM documents WHERE length(text) > 0)
+SELECT doc_id, CAST(CASE WHEN regexp_matches(substr(text, s + 1, 1), '[\p{L}\p{N}]') THEN s - length(regexp_extract(substr(text, 1, s), '[\p{L}\p{N}]*$')) ELSE s END AS INTEGER) AS start,
+CAST(CASE WHEN regexp_matches(substr(text, e, 1), '[\p{L}\p{N}]') THEN e + length(regexp_extract(substr(text, e + 1), '^[\p{L}\p{N}]*')) ELSE e END AS INTEGER) AS "end" FROM m""")
 def snapped_spans(spark, d):
-    start, end = A.snapped(F.col("text"), F.lit(10), F.lit(20))
-    return table(spark, d, "documents").filter(F.length("text") >= 20).select("doc_id", start.cast("int").alias("start"), end.cast("int").alias("end"))
+    """Ten characters from the middle of each text."""
+    docs = table(spark, d, "documents").filter(F.length("text") > 0).withColumn("s", F.floor(F.length("text") / 2).cast("int")).withColumn("e", F.least(F.length("text"), F.col("s") + 10))
+    start, end = A.snapped(F.col("text"), F.col("s"), F.col("e"))
+    return docs.select("doc_id", start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
 @query(r"""WITH r AS (SELECT page_id, regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>', 1) AS x FROM pages), u AS (SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS ord FROM r)
@@ -168,10 +179,11 @@ def tag_profile(spark, d):
 EDGE = r"(^|$|[^\p{L}\p{N}_])"
 
 
-@query(rf"""SELECT doc_id, len(list_filter(regexp_extract_all(regexp_replace(text, '[^\p{{L}}\p{{N}}_]', '  ', 'g'), '(?:^| )([A-Z][a-z]{{2,}})(?:$| )', 1), lambda w: w NOT IN ('The', 'And', 'But', 'This', 'That', 'Then'))) > 0
- OR regexp_matches(text, '(?i){EDGE}(hill|lake|river|valley|mountain|road|forest)s?{EDGE}') OR regexp_matches(text, '(?i){EDGE}[0-9]+ (miles?|leagues?|yards?|feet|kilometres?){EDGE}') AS positive FROM documents""")
+@query(rf"""SELECT doc_id, len(list_filter(regexp_extract_all(regexp_replace(text, '[^\p{{L}}\p{{N}}_]', '  ', 'g'), '(?:^| )([A-Z][a-z]{{2,}})(?:$| )', 1), lambda w: w NOT IN ('The', 'This', 'That', 'There', 'These', 'Those', 'When', 'What'))) > 0
+ OR regexp_matches(text, '(?i){EDGE}(roads?|lakes?|hills?|fells?|rivers?|valley|vale|bridge|mountains?|village|town|church|inn|path|track|shore|coast|woods?|camp|ghetto|station|border|street|fields?|stream|beck){EDGE}')
+ OR regexp_matches(text, '(?i){EDGE}(miles?|leagues?|yards?|hours?\s+(walk|ride|journey)){EDGE}') AS positive FROM documents""")
 def positive_flag(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.is_positive(F.col("text"), NOUNS, STOPS).alias("positive"))
+    return table(spark, d, "documents").select("doc_id", T.is_positive(F.col("text")).alias("positive"))
 
 
 def _commas(text: str) -> list[dict]:
@@ -191,28 +203,56 @@ def panel_run(spark, d):
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.posexplode(T.sentences(F.col("text"))).alias("ord", "text"))
+    return T.sentences(table(spark, d, "documents"), ["doc_id"]).select(F.col("doc_id").alias("pid"), "ord", F.col("sentence").alias("text"))
 
 
-@query()
+#: Sentences made of the tables, so that what a reader should find in them is known.
+TRIPS = """trip AS (SELECT o_custkey AS pid, CAST(o_orderkey AS INTEGER) AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'walked' WHEN 1 THEN 'sailed' ELSE 'travelled' END AS verb, o_orderkey % 5 <> 0 AS says_from, o_orderkey % 7 = 0 AS never,
+  'Town' || substr('abcdefghij', 1 + CAST(o_custkey % 10 AS INTEGER), 1) AS a, 'New ' || upper(substr('klmnopqrst', 1 + CAST(o_orderkey % 10 AS INTEGER), 1)) || 'ford' AS b, o_orderkey % 4 = 0 AS by_train FROM orders)"""
+
+
+def trips(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    verb = F.when(k % 3 == 0, "walked").when(k % 3 == 1, "sailed").otherwise("travelled")
+    a = F.concat(F.lit("Town"), F.substring(F.lit("abcdefghij"), (c % 10 + 1).cast("int"), F.lit(1)))
+    b = F.concat(F.lit("New "), F.upper(F.substring(F.lit("klmnopqrst"), (k % 10 + 1).cast("int"), F.lit(1))), F.lit("ford"))
+    text = F.concat(F.when(k % 7 == 0, "She never ").otherwise("She "), verb, F.when(k % 5 != 0, F.concat(F.lit(" from "), a)).otherwise(""), F.lit(" to "), b, F.when(k % 4 == 0, " by train.").otherwise("."))
+    return table(spark, d, "orders").select(c.alias("pid"), k.cast("int").alias("ord"), text.alias("text"))
+
+
+@query("WITH " + TRIPS + """, m AS (SELECT *, lag(b) OVER (PARTITION BY pid ORDER BY ord) AS before FROM trip WHERE NOT never)
+SELECT pid, ord, CASE WHEN says_from THEN a ELSE before END AS start_location, b AS end_location, CASE WHEN by_train THEN 'train' WHEN verb = 'walked' THEN 'foot' WHEN verb = 'sailed' THEN 'ship' END AS transport_mode, NOT says_from AND before IS NOT NULL AS requires_review FROM m""")
 def rule_journeys(spark, d):
-    return N.journeys(_sentences(spark, d))
+    return N.journeys(trips(spark, d)).drop("evidence")
 
 
-@query()
+LEXICON = [("the", "positive"), ("la", "positive"), ("die", "positive"), ("of", "negative"), ("le", "negative"), ("und", "negative")]
+
+
+@query(DOC_TOKENS + r""", t AS (SELECT pid, pos, lower(regexp_replace(regexp_replace(word, '^[^\p{L}]+', ''), '[^\p{L}]+$', '')) AS term FROM tk),
+n AS (SELECT *, coalesce(lag(term, 1) OVER w IN ('in', 'de', 'no', 'der'), false) OR coalesce(lag(term, 2) OVER w IN ('in', 'de', 'no', 'der'), false) AS neg FROM t WINDOW w AS (PARTITION BY pid ORDER BY pos)),
+h AS (SELECT pid, term, CASE WHEN term IN ('the', 'la', 'die') THEN 1 WHEN term IN ('of', 'le', 'und') THEN -1 ELSE 0 END * CASE WHEN neg THEN -1 ELSE 1 END AS p FROM n),
+s AS (SELECT pid, CAST(count(*) FILTER (p > 0) AS BIGINT) AS positive, CAST(count(*) FILTER (p < 0) AS BIGINT) AS negative, array_to_string(list_sort(coalesce(list(DISTINCT term) FILTER (p <> 0), [])), ',') AS matched FROM h GROUP BY 1)
+SELECT *, CASE WHEN positive > 0 AND positive = negative THEN 'mixed' WHEN positive > negative THEN 'positive' WHEN negative > positive THEN 'negative' ELSE 'neutral' END AS sentiment FROM s""")
 def rule_affect(spark, d):
-    lexicon = spark.createDataFrame([("good", "positive"), ("calm", "positive"), ("bad", "negative"), ("dark", "negative")], "term string, polarity string")
-    return N.affect_by_lexicon(S.tokens(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text")), lexicon)
+    """Frequent words stand in for a lexicon, others for its negators."""
+    lexicon = spark.createDataFrame(LEXICON, "term string, polarity string")
+    words = S.tokens(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"))
+    return N.affect_by_lexicon(words, lexicon, ("in", "de", "no", "der")).withColumn("matched", F.array_join("matched", ","))
 
 
-@query()
+@query("""SELECT n_nationkey AS mention_id, CASE WHEN n_regionkey = 4 THEN 'unresolved' END AS audit, CASE WHEN n_regionkey <> 4 THEN n_nationkey * 7.0 - 80 END AS lon, CASE WHEN n_regionkey <> 4 THEN n_nationkey * 3.0 - 30 END AS lat FROM nation""")
 def place_features(spark, d):
     n = table(spark, d, "nation")
     places = n.select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("country"), (F.col("n_nationkey") * 3.0 - 30).alias("lat"), (F.col("n_nationkey") * 7.0 - 80).alias("lon"), (F.col("n_regionkey") == 4).alias("historical"))
-    return N.features(N.resolve_places(n.select(F.col("n_nationkey").alias("mention_id"), F.lower("n_name").alias("name")), places))
+    made = N.features(N.resolve_places(n.select(F.col("n_nationkey").alias("mention_id"), F.lower("n_name").alias("name")), places))
+    at = F.from_json("feature", "geometry struct<coordinates: array<double>>")["geometry"]["coordinates"]
+    return made.select("mention_id", "audit", F.get(at, F.lit(0)).alias("lon"), F.get(at, F.lit(1)).alias("lat"))
 
 
-@query()
+@query("WITH RECURSIVE " + SQL_SENTENCES + """, o AS (SELECT doc_id AS pid, sentence AS t, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM sentences),
+f AS (SELECT pid, n, 0 AS seg, t FROM o WHERE n = 1 UNION ALL SELECT o.pid, o.n, CASE WHEN length(f.t) + 1 + length(o.t) <= 400 THEN seg ELSE seg + 1 END, CASE WHEN length(f.t) + 1 + length(o.t) <= 400 THEN f.t || ' ' || o.t ELSE o.t END FROM f JOIN o ON o.pid = f.pid AND o.n = f.n + 1)
+SELECT pid, seg, arg_max(t, n) AS text FROM f GROUP BY 1, 2""")
 def text_segments(spark, d):
     return N.segments(_sentences(spark, d), 400)
 
@@ -220,8 +260,8 @@ def text_segments(spark, d):
 PRF = "round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1"
 
 
-@query(VOTERS + f""", u AS (SELECT 'capital' AS voter, pid, start FROM a UNION ALL SELECT 'comma', pid, start FROM c), v AS (SELECT DISTINCT voter FROM u),
-m AS (SELECT voter, pid, start FROM v, b), j AS (SELECT voter, u.pid IS NOT NULL AS p, m.pid IS NOT NULL AS g FROM (SELECT *, 1 AS k FROM u) u FULL JOIN m USING (voter, pid, start)),
+@query(VOTERS + f""", u AS (SELECT 'capital' AS voter, pid, start, "end" FROM a UNION ALL SELECT 'comma', pid, start, "end" FROM c), v AS (SELECT DISTINCT voter FROM u),
+m AS (SELECT voter, pid, start, "end" FROM v, b), j AS (SELECT voter, u.pid IS NOT NULL AS p, m.pid IS NOT NULL AS g FROM (SELECT *, 1 AS k FROM u) u FULL JOIN m USING (voter, pid, start, "end")),
 s AS (SELECT voter, CAST(count(*) FILTER (p AND g) AS BIGINT) AS tp, CAST(count(*) FILTER (p AND NOT g) AS BIGINT) AS fp, CAST(count(*) FILTER (g AND NOT p) AS BIGINT) AS fn FROM j GROUP BY 1)
 SELECT *, {PRF} FROM s""")
 def prf_by_voter(spark, d):

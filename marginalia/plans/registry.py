@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import geo, text as T
@@ -34,24 +34,35 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_TURNS = "p AS (SELECT conv_id * 1000 + turn AS pid, conv_id, turn, role, text FROM conversations)"
-SQL_TOKENS = """tok AS (
-  SELECT pid, pos, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY pid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, word
-  FROM (SELECT pid, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM {source})
-), tk AS (SELECT pid, pos, start, CAST(start + length(word) AS INTEGER) AS "end", word FROM tok WHERE length(word) > 0)"""
+SQL_TOKENS = (
+    r"""tok AS (
+  SELECT pid, i, run, CAST(coalesce(sum(length(run)) OVER (PARTITION BY pid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start
+  FROM (SELECT pid, unnest(r) AS run, generate_subscripts(r, 1) - 1 AS i FROM (SELECT pid, regexp_extract_all(text, '[SPACE]+|[^SPACE]+') AS r FROM {source}))
+), tk AS (SELECT pid, CAST(floor(i / 2) AS BIGINT) AS pos, start, CAST(start + length(run) AS INTEGER) AS "end", run AS word FROM tok WHERE NOT regexp_matches(run, '^[SPACE]'))"""
+).replace("SPACE", T.SPACE.replace("{", "{{").replace("}", "}}"))
 TOKENS = "WITH " + SQL_TURNS + ", " + SQL_TOKENS.format(source="p")
 DOC_TOKENS = "WITH p AS (SELECT doc_id AS pid, lang, text FROM documents), " + SQL_TOKENS.format(source="p")
 CAPITAL = r"^\p{Lu}\p{Ll}"
 
 
 def voters(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Three simple annotators over turns: capitalised words, long words, words before a comma."""
-    words = S.tokens(turns(spark, d)).select("pid", "start", "end", "word")
-    rules = {"capital": F.col("word").rlike(CAPITAL), "long": F.length("word") >= 9, "comma": F.col("word").endswith(",")}
-    return {name: words.filter(rule).select("pid", "start", "end", F.lit(name).alias("voter"), F.lit(name.upper()).alias("label")) for name, rule in rules.items()}
+    """Three simple annotators over turns: capitalised words with the word behind, long words, words before a comma without it.
 
+    Their spans overlap in part, and their labels (by the word's length) are the same two.
+    """
+    words = S.tokens(turns(spark, d))
+    following = F.coalesce(F.lead("end").over(Window.partitionBy("pid").orderBy("pos")), F.col("end"))
+    label = F.when(F.length("word") % 2 == 0, "PLACE").otherwise("THING")
+    words = words.select("pid", "start", "end", "word", following.alias("next"), label.alias("label"))
+    comma = F.col("word").endswith(",") & (F.length("word") > 1)
+    rules = {"capital": (F.col("word").rlike(CAPITAL), F.col("next")), "long": (F.length("word") >= 9, F.col("end")), "comma": (comma, F.col("end") - 1)}
+    return {name: words.filter(rule).select("pid", "start", end.alias("end"), F.lit(name).alias("voter"), "label") for name, (rule, end) in rules.items()}
 
-VOTERS = TOKENS + r""", a AS (SELECT pid, start, "end" FROM tk WHERE regexp_matches(word, '^\p{Lu}\p{Ll}')),
- b AS (SELECT pid, start, "end" FROM tk WHERE length(word) >= 9), c AS (SELECT pid, start, "end" FROM tk WHERE word LIKE '%,')"""
+
+VOTERS = TOKENS + r""", w AS (SELECT *, coalesce(lead("end") OVER (PARTITION BY pid ORDER BY pos), "end") AS nxt, CASE WHEN length(word) % 2 = 0 THEN 'PLACE' ELSE 'THING' END AS label FROM tk),
+ a AS (SELECT pid, start, nxt AS "end", label FROM w WHERE regexp_matches(word, '^\p{Lu}\p{Ll}')),
+ b AS (SELECT pid, start, "end", label FROM w WHERE length(word) >= 9), c AS (SELECT pid, start, CAST("end" - 1 AS INTEGER) AS "end", label FROM w WHERE word LIKE '%,' AND length(word) > 1)"""
+EVERY_VOTER = VOTERS + ", u AS (SELECT *, 'capital' AS voter FROM a UNION ALL SELECT *, 'long' FROM b UNION ALL SELECT *, 'comma' FROM c)"
 
 
 @query(TOKENS + ' SELECT pid, pos, start, "end", word FROM tk')
@@ -69,9 +80,16 @@ def passage_quality_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", T.passage_ok(F.col("text")).alias("ok"))
 
 
-@query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS ord, parts[i] AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])(["'')\\]]?)\\s+([A-Z"''(\\[])', '\\1\\2␞\\3', 'g'), '␞') AS parts FROM documents) t, generate_series(1, len(parts)) g(i)""")
+SQL_SENTENCES = r"""cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])(["'')\]]?[\t-\r ]+)([A-Z"''(\[])', '\1\x{E000}\2\x{E001}\3', 'g'), '\x{E001}') AS parts FROM documents),
+each AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS ord FROM cut),
+placed AS (SELECT doc_id, ord, string_split(part, '\x{E000}') AS x, sum(length(replace(part, '\x{E000}', ''))) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM each),
+sentence AS (SELECT doc_id, CAST(ord AS INTEGER) AS ord, CAST(coalesce(before, 0) AS INTEGER) AS start, x[1] || coalesce(substr(x[2], 1, 1), '') AS sentence FROM placed),
+sentences AS (SELECT doc_id, ord, start, CAST(start + length(sentence) AS INTEGER) AS "end", sentence FROM sentence WHERE length(sentence) > 0)""".replace(r"\x{E000}", "\ue000").replace(r"\x{E001}", "\ue001")
+
+
+@query("WITH " + SQL_SENTENCES + " SELECT * FROM sentences")
 def sentence_split(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("ord", "sentence"))
+    return T.sentences(table(spark, d, "documents"), ["doc_id"])
 
 
 @query(r"""SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'), ' '), ' ([,.;:!?)\]])', '\1', 'g') AS clean FROM pages""")
@@ -96,31 +114,69 @@ def hash_sample_queue(spark, d):
     return R.hash_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 40)
 
 
-@query()
+#: One unit at a time, as the rule says.
+ALLOCATE = """l AS (SELECT list(stratum ORDER BY stratum) AS st, list(size ORDER BY stratum) AS sz, CAST(sum(size) AS BIGINT) AS tot, least({want}, CAST(sum(size) AS BIGINT)) AS want FROM s),
+al AS (SELECT 0 AS step, st, sz, want, list_transform(sz, lambda z: CAST(greatest(1, round_even(want * z / tot, 0)) AS BIGINT)) AS q FROM l
+  UNION ALL SELECT step + 1, st, sz, want, CASE WHEN list_sum(q) > want THEN list_transform(q, lambda x, i: x - CASE WHEN i = list_position(q, list_max(q)) THEN 1 ELSE 0 END)
+    ELSE list_transform(q, lambda x, i: x + CASE WHEN i = list_position(list_transform(list_zip(sz, q), lambda z: z[1] - z[2]), list_max(list_transform(list_zip(sz, q), lambda z: z[1] - z[2]))) THEN 1 ELSE 0 END) END
+  FROM al WHERE list_sum(q) <> want),
+quotas AS (SELECT unnest(st) AS stratum, unnest(q) AS quota FROM al WHERE list_sum(q) = want)"""
+
+
+@query("WITH RECURSIVE d AS (SELECT doc_id, concat_ws('/', lang, source) AS stratum FROM documents), s AS (SELECT stratum, count(*) AS size FROM d GROUP BY 1), " + ALLOCATE.format(want=200) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('2026:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM d) SELECT doc_id, stratum FROM r JOIN quotas USING (stratum) WHERE k <= quota""")
 def stratified_sample(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("stratum"))
     return R.stratified_sample(docs, "stratum", "doc_id", 200)
 
 
+@query("WITH RECURSIVE s AS (SELECT concat_ws('/', lang, source) AS stratum, count(*) AS size FROM documents GROUP BY 1), " + ALLOCATE.format(want=37) + " SELECT stratum, quota FROM quotas")
+def stratum_quotas(spark, d):
+    """More strata than rows are wanted: quotas fall to none."""
+    strata = table(spark, d, "documents").groupBy(F.concat_ws("/", "lang", "source").alias("stratum")).agg(F.count("*").alias("size"))
+    return R.allocate(strata, 37).select("stratum", "quota")
+
+
 @query(DOC_TOKENS + " SELECT lower(word) AS term, CAST(count(DISTINCT pid) AS BIGINT) AS df FROM tk GROUP BY 1 HAVING count(DISTINCT pid) >= 3")
 def gazetteer_build(spark, d):
     words = S.tokens(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"))
     return S.build_gazetteer(words)
 
 
-@query(DOC_TOKENS + """, g AS (SELECT lower(word) AS term, count(DISTINCT pid) AS df FROM tk GROUP BY 1 HAVING count(DISTINCT pid) BETWEEN 20 AND 60)
-SELECT pid, start, "end", word FROM tk JOIN g ON lower(word) = term""")
-def gazetteer_match(spark, d):
+def gazetteer(spark: SparkSession, d: str) -> DataFrame:
+    """Surfaces of two layers: the first two words of benchmark items as they are written, rare words of documents in any case."""
+    items = table(spark, d, "benchmark").select(F.regexp_extract("text", rf"[{T.LETTER}]+ [{T.LETTER}]+", 0).alias("surface")).filter(F.length("surface") > 0).distinct()
     words = S.tokens(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"))
-    return S.gazetteer_spans(words, S.build_gazetteer(words, least=20, most=60).select("term")).select("pid", "start", "end", "word")
+    rare = S.build_gazetteer(words, least=20, most=60).filter(F.col("term").rlike(rf"^[{T.LETTER}]+$")).select(F.col("term").alias("surface"), F.lit("TERM").alias("label"), F.lit(True).alias("any_case"))
+    return items.select("surface", F.lit("PHRASE").alias("label"), F.lit(False).alias("any_case")).unionByName(rare)
+
+
+#: Every place of a phrase by literal search; from left to right, each behind the one before; then the terms that overlap none.
+@query("WITH RECURSIVE " + DOC_TOKENS[5:] + r""", ph AS (SELECT DISTINCT regexp_extract(text, '[\p{L}\p{N}_]+ [\p{L}\p{N}_]+') AS surface FROM benchmark),
+tm AS (SELECT lower(word) AS term FROM tk GROUP BY 1 HAVING count(DISTINCT pid) BETWEEN 20 AND 60 AND regexp_matches(lower(word), '^[\p{L}\p{N}_]+$')),
+cut AS (SELECT pid, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS r FROM p), un AS (SELECT pid, unnest(r) AS run, generate_subscripts(r, 1) AS i FROM cut),
+wd AS (SELECT pid, i, run, CAST(coalesce(sum(length(run)) OVER w - length(run), 0) AS INTEGER) AS start, lead(run, 1) OVER w2 AS gap, lead(run, 2) OVER w2 AS nxt FROM un
+  WINDOW w AS (PARTITION BY pid ORDER BY i ROWS UNBOUNDED PRECEDING), w2 AS (PARTITION BY pid ORDER BY i)),
+h1 AS (SELECT pid, start, CAST(start + length(run || gap || nxt) AS INTEGER) AS "end", run || gap || nxt AS surface FROM wd JOIN ph ON run || gap || nxt = ph.surface),
+pick AS (SELECT pid, min(start) AS start, arg_min("end", start) AS "end", arg_min(surface, start) AS surface FROM h1 GROUP BY 1
+  UNION ALL SELECT h1.pid, min(h1.start), arg_min(h1."end", h1.start), arg_min(h1.surface, h1.start) FROM pick JOIN h1 ON h1.pid = pick.pid AND h1.start >= pick."end" GROUP BY h1.pid),
+h2 AS (SELECT pid, start, CAST(start + length(run) AS INTEGER) AS "end", run AS surface FROM wd JOIN tm ON lower(run) = term)
+SELECT *, 'PHRASE' AS label FROM pick UNION ALL SELECT *, 'TERM' FROM h2 x WHERE NOT EXISTS (SELECT 1 FROM pick y WHERE y.pid = x.pid AND y.start < x."end" AND x.start < y."end")""")
+def gazetteer_match(spark, d):
+    return S.gazetteer_spans(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"), gazetteer(spark, d))
 
 
-@query("""WITH q AS (SELECT d.doc_id AS pid, substr(d.text, 11, 24) AS quote, d.text FROM documents d WHERE length(d.text) >= 40)
-SELECT pid, CAST(strpos(text, quote) - 1 AS INTEGER) AS start, CAST(strpos(text, quote) - 1 + length(quote) AS INTEGER) AS "end", 'grounded' AS status FROM q""")
+@query("""WITH q AS (SELECT doc_id AS pid, text, unnest([text, string_split(text, ' ')[1], string_split(text, ' ')[1], string_split(text, ' ')[1], 'zq ' || text, '', string_split(text, ' ')[-1]]) AS quote, unnest(range(7)) AS ord FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY pid, quote ORDER BY ord) AS k, CASE WHEN length(quote) > 0 THEN string_split(text, quote) END AS x FROM q),
+r AS (SELECT pid, CAST(ord AS INTEGER) AS ord, quote, k, CASE WHEN coalesce(length(quote), 0) = 0 THEN 'empty_quote' WHEN k < len(x) THEN 'grounded' WHEN len(x) = 1 THEN 'not_in_passage' ELSE 'repeated_and_exhausted' END AS status, x FROM k)
+SELECT pid, ord, status, CASE WHEN status = 'grounded' THEN CAST(list_sum(list_transform(x[1:k], lambda z: length(z))) + (k - 1) * length(quote) AS INTEGER) ELSE -1 END AS start FROM r""")
 def ground_quotes(spark, d):
-    docs = table(spark, d, "documents").filter(F.length("text") >= 40).select(F.col("doc_id").alias("pid"), "text")
-    quotes = docs.select("pid", F.lit("v").alias("voter"), F.lit(0).alias("ord"), F.substring("text", 11, 24).alias("quote"))
-    return S.ground(quotes, docs).select("pid", "start", "end", "status")
+    """Of each document the whole text, its first word three times, what it does not hold, nothing, and its last word."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text")
+    words = F.split("text", " ")
+    asked = F.array("text", *[F.get(words, F.lit(0))] * 3, F.concat(F.lit("zq "), "text"), F.lit(""), F.element_at(words, -1))
+    quotes = docs.select("pid", F.lit("v").alias("voter"), F.posexplode(asked).alias("ord", "quote"))
+    return S.ground(quotes, docs).select("pid", "ord", "status", F.coalesce("start", F.lit(-1)).alias("start"))
 
 
 @query(VOTERS + """, e AS (SELECT a.pid, count(*) AS tp FROM a JOIN b USING (pid, start, "end") GROUP BY 1), na AS (SELECT pid, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT pid, count(*) AS n FROM b GROUP BY 1)
@@ -130,7 +186,13 @@ def match_exact(spark, d):
     return S.match(v["capital"], v["long"], "exact")
 
 
-@query()
+#: One prediction at a time, each taking the free gold span that it shares most with.
+@query("WITH RECURSIVE " + VOTERS[5:] + """, pn AS (SELECT pid, start AS s, "end" AS e, row_number() OVER (PARTITION BY pid ORDER BY start, "end") AS n FROM a), gl AS (SELECT pid, list({'s': start, 'e': "end"} ORDER BY start, "end") AS gs FROM b GROUP BY 1),
+r AS (SELECT pid, CAST(0 AS BIGINT) AS n, gs, CAST([] AS BIGINT[]) AS used FROM gl
+  UNION ALL SELECT pn.pid, pn.n, gs, list_concat(used, list_transform(list_filter([list_max(list_transform(list_filter(range(1, len(gs) + 1), lambda i: NOT list_contains(used, i) AND least(gs[i].e, pn.e) > greatest(gs[i].s, pn.s)),
+    lambda i: {'o': least(gs[i].e, pn.e) - greatest(gs[i].s, pn.s), 'k': -i}))], lambda m: m IS NOT NULL), lambda m: -m.k)) FROM r JOIN pn ON pn.pid = r.pid AND pn.n = r.n + 1),
+t AS (SELECT pid, CAST(max(len(used)) AS BIGINT) AS tp FROM r GROUP BY 1), na AS (SELECT pid, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT pid, count(*) AS n FROM b GROUP BY 1)
+SELECT pid, coalesce(tp, 0) AS tp, coalesce(na.n, 0) - coalesce(tp, 0) AS fp, coalesce(nb.n, 0) - coalesce(tp, 0) AS fn FROM na FULL JOIN nb USING (pid) LEFT JOIN t USING (pid)""")
 def match_overlap(spark, d):
     v = voters(spark, d)
     return S.match(v["capital"], v["long"], "overlap")
@@ -168,20 +230,62 @@ def overlap_pairs(spark, d):
     return S.overlap_pairs(v["capital"], v["comma"])
 
 
-@query(VOTERS + """, u AS (SELECT *, 1 AS n FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 1 FROM c)
-SELECT pid, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end", CAST(count(*) AS INTEGER) AS n_votes FROM u GROUP BY pid, start, "end" """)
+#: One span at a time, each joining the first item with a member that marks the same thing.
+POOL = "WITH RECURSIVE " + EVERY_VOTER[5:] + """, o AS (SELECT pid, {'s': start, 'e': "end", 'v': voter, 'l': label} AS x, row_number() OVER (PARTITION BY pid ORDER BY start, "end", voter, label) AS n FROM u),
+g AS (SELECT pid, n, [{'x': x, 'g': n}] AS ms FROM o WHERE n = 1
+  UNION ALL SELECT o.pid, o.n, list_append(ms, {'x': o.x, 'g': coalesce(list_min(list_transform(list_filter(ms, lambda m: least(m.x.e, o.x.e) > greatest(m.x.s, o.x.s)
+    AND (least(m.x.e, o.x.e) - greatest(m.x.s, o.x.s) >= 0.5 * (greatest(m.x.e, o.x.e) - least(m.x.s, o.x.s)) OR least(m.x.e, o.x.e) - greatest(m.x.s, o.x.s) >= 0.8 * least(m.x.e - m.x.s, o.x.e - o.x.s))), lambda m: m.g)), o.n)}) FROM g JOIN o ON o.pid = g.pid AND o.n = g.n + 1),
+z AS (SELECT pid, unnest(arg_max(ms, n)) AS m FROM g GROUP BY 1), item AS (SELECT pid, m.g AS g, m.x AS x FROM z),
+first AS (SELECT pid, g, x.v AS v, arg_min(x.l, {'s': x.s, 'e': x.e, 'l': x.l}) AS l FROM item GROUP BY ALL)"""
+
+
+@query(POOL + " SELECT pid, min(x.s) AS start, max(x.e) AS \"end\", CAST(count(DISTINCT x.v) AS INTEGER) AS n_votes, CAST(count(*) AS INTEGER) AS n_members FROM item GROUP BY pid, g")
 def pool_spans(spark, d):
     a, b, c = voters(spark, d).values()
-    return S.pool(a.unionByName(b).unionByName(c)).select("pid", "start", "end", F.size("votes").alias("n_votes"))
+    return S.pool(a.unionByName(b).unionByName(c)).select("pid", "start", "end", F.size("votes").alias("n_votes"), F.size("members").alias("n_members"))
 
 
-@query(VOTERS + """, u AS (SELECT *, 'CAPITAL' AS label FROM a UNION ALL SELECT *, 'LONG' FROM b UNION ALL SELECT *, 'COMMA' FROM c)
-SELECT pid, start, "end", label, CAST(1 AS BIGINT) AS vote_count, 1 / 3.0 AS vote_ratio, true AS requires_review FROM u""")
+@query(POOL + """, lab AS (SELECT pid, g, l, count(*) AS n, min(CASE v WHEN 'capital' THEN 0 WHEN 'long' THEN 1 ELSE 2 END) AS k FROM first GROUP BY ALL),
+best AS (SELECT pid, g, arg_max(l, {'n': n, 'k': -k}) AS modal_label, CAST(max(n) AS INTEGER) AS agreement, CAST(sum(n) AS INTEGER) AS n_proposing FROM lab GROUP BY ALL),
+ext AS (SELECT pid, g, min(x.s) AS start, count(DISTINCT [x.s, x.e]) > 1 AS extent_disagreement FROM item GROUP BY ALL)
+SELECT pid, start, n_proposing, modal_label, agreement, agreement = 3 AS unanimous, extent_disagreement, CASE WHEN agreement = 3 AND NOT extent_disagreement THEN 'A_unanimous' ELSE 'B_contested' END AS stratum FROM best JOIN ext USING (pid, g)""")
+def pooled_profile(spark, d):
+    a, b, c = voters(spark, d).values()
+    items = S.pool(a.unionByName(b).unionByName(c))
+    found = S.pooled_votes(items, ["capital", "long", "comma"])
+    return found.join(items.select("pid", "item", "start"), ["pid", "item"]).drop("item")
+
+
+@query(EVERY_VOTER + """ SELECT pid, start, "end", label, count(DISTINCT voter) AS vote_count, count(DISTINCT voter) / 3.0 AS vote_ratio, count(DISTINCT voter) / 3.0 < 0.5 AS requires_review FROM u GROUP BY pid, start, "end", label""")
 def entity_vote(spark, d):
     a, b, c = voters(spark, d).values()
     return V.entity_vote(a.unionByName(b).unionByName(c), 3)
 
 
+@query(VOTERS + """, j AS (SELECT pid, start, "end", label, 1 AS n FROM a UNION ALL SELECT pid, start, "end", label, -1 FROM b) SELECT CASE WHEN sum(n) > 0 THEN 'spurious' ELSE 'missed' END AS side, pid, start, "end", label FROM j GROUP BY pid, start, "end", label HAVING sum(n) <> 0""")
+def unmatched_spans(spark, d):
+    v = voters(spark, d)
+    return S.unmatched(v["capital"], v["long"])
+
+
+@query(VOTERS + """, e AS (SELECT a.pid, count(*) AS tp FROM a JOIN b USING (pid, start, "end", label) GROUP BY 1), na AS (SELECT pid, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT pid, count(*) AS n FROM b GROUP BY 1)
+SELECT pid, coalesce(tp, 0) AS tp, coalesce(na.n, 0) - coalesce(tp, 0) AS fp, coalesce(nb.n, 0) - coalesce(tp, 0) AS fn FROM na FULL JOIN nb USING (pid) LEFT JOIN e USING (pid)""")
+def match_labels(spark, d):
+    v = voters(spark, d)
+    return S.match(v["capital"], v["long"], "exact", label=True)
+
+
+#: Each prediction, in order, takes the first free gold span that it meets.
+@query("WITH RECURSIVE " + VOTERS[5:] + """, pn AS (SELECT pid, start AS s, "end" AS e, label AS l, row_number() OVER (PARTITION BY pid ORDER BY start, "end", label) AS n FROM a), gl AS (SELECT pid, list({'s': start, 'e': "end", 'l': label} ORDER BY start, "end", label) AS gs FROM b GROUP BY 1),
+r AS (SELECT pid, CAST(0 AS BIGINT) AS n, gs, CAST([] AS BIGINT[]) AS used FROM gl
+  UNION ALL SELECT pn.pid, pn.n, gs, list_concat(used, list_filter(range(1, len(gs) + 1), lambda i: NOT list_contains(used, i) AND gs[i].l = pn.l AND least(gs[i].e, pn.e) > greatest(gs[i].s, pn.s))[1:1]) FROM r JOIN pn ON pn.pid = r.pid AND pn.n = r.n + 1),
+t AS (SELECT pid, CAST(max(len(used)) AS BIGINT) AS tp FROM r GROUP BY 1), na AS (SELECT pid, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT pid, count(*) AS n FROM b GROUP BY 1)
+SELECT pid, coalesce(tp, 0) AS tp, coalesce(na.n, 0) - coalesce(tp, 0) AS fp, coalesce(nb.n, 0) - coalesce(tp, 0) AS fn FROM na FULL JOIN nb USING (pid) LEFT JOIN t USING (pid)""")
+def match_first_overlap(spark, d):
+    v = voters(spark, d)
+    return S.match(v["capital"], v["long"], "any", label=True)
+
+
 def votes(spark: SparkSession, d: str) -> DataFrame:
     """Events as votes: 20 events are an item, the user's number mod 7 the voter, the first type the label."""
     rows = table(spark, d, "events").withColumn("item", F.floor(F.col("event_id") / 20)).withColumn("voter", F.col("user_id") % 7)
@@ -295,7 +399,12 @@ def field_scoring(spark, d):
     return R.field_scores(rows, ["status", "priority"])
 
 
-@query()
+#: Candidates from the best to the worst, each taken where both its ends are free.
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS cust, o_orderkey AS k, month(o_orderdate) AS m FROM orders),
+c AS (SELECT p.cust, p.k AS p, r.k AS r, 2 - abs(p.m - r.m) / 12.0 AS score FROM o p JOIN o r ON p.cust = r.cust AND p.k % 2 = 0 AND r.k % 2 = 1),
+n AS (SELECT cust, {'p': p, 'r': r, 'score': score} AS x, row_number() OVER (PARTITION BY cust ORDER BY score DESC, p, r) AS n FROM c),
+f AS (SELECT cust, n, [x] AS ms FROM n WHERE n = 1 UNION ALL SELECT n.cust, n.n, CASE WHEN len(list_filter(ms, lambda m: m.p = n.x.p OR m.r = n.x.r)) > 0 THEN ms ELSE list_append(ms, n.x) END FROM f JOIN n ON n.cust = f.cust AND n.n = f.n + 1),
+z AS (SELECT cust, unnest(arg_max(ms, n)) AS m FROM f GROUP BY 1) SELECT cust, m.p AS p, m.r AS r, m.score AS score FROM z""")
 def journey_match(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.month("o_orderdate").alias("m"))
     p, r = o.filter(F.col("o_orderkey") % 2 == 0).alias("p"), o.filter(F.col("o_orderkey") % 2 == 1).alias("r")
@@ -311,11 +420,14 @@ def cooccurrence(spark, d):
     return R.cooccurrence(words.select("pid", F.col("word").alias("term")))
 
 
-@query("SELECT b.item_id FROM benchmark b WHERE md5(b.text) IN (SELECT md5(text) FROM documents)")
+@query(DOC_TOKENS + """, ws AS (SELECT pid, list(word ORDER BY pos) AS w FROM tk GROUP BY 1), sh AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM ws WHERE len(w) >= 5),
+bt AS (SELECT item_id, regexp_extract_all(text, '[^SPACE]+') AS w FROM benchmark), bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM bt WHERE len(w) >= 5)
+SELECT item_id, CAST(count(*) AS BIGINT) AS shingles, CAST(count(sh.s) AS BIGINT) AS found FROM bs LEFT JOIN sh USING (s) GROUP BY 1 HAVING count(sh.s) >= 0.8 * count(*)""".replace("SPACE", T.SPACE))
 def leakage_check(spark, d):
-    key = F.md5(F.col("text").cast("binary"))
-    docs = table(spark, d, "documents").select(key.alias("k"))
-    return table(spark, d, "benchmark").withColumn("k", key).join(docs, "k", "left_semi").select("item_id")
+    """Benchmark items of whose five-word runs four in five stand in some document."""
+    items = R.shingles(table(spark, d, "benchmark").select("item_id", "text"), "item_id")
+    held = R.shingles(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("shingle")
+    return R.contained(items, held, "item_id")
 
 
 @query("SELECT doc_id, 'unlabelled' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unknown' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")

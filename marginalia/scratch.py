@@ -2,8 +2,9 @@
 
 Intermediate tables are written as Parquet below the folder named by
 ``spark.checkpoint.dir``, which driver and executors share on a cluster.  Only
-where that setting is absent (a local session in a test) is a temporary local
-folder made.  Tables live until the application ends.
+where that setting is absent in a local session (a test) is a temporary local
+folder made; on a cluster its absence is an error, for executors would write to
+disks of their own.  Tables live until the application ends.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ def scratch_root(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="marginalia-")

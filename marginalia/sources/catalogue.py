@@ -31,17 +31,23 @@ def with_manifest(passages: DataFrame, manifest: DataFrame, defaults: dict[str,
     return met.withColumns(filled | {"in_manifest": F.coalesce("__known", F.lit(False))}).drop("__known")
 
 
+#: What a revision that nobody filled in holds (fixed values).
+PLACEHOLDERS = ("fill in", "todo", "tbd", "xxx", "changeme", "?")
+
+
 def load_specs(text: str) -> list[dict]:
     """Annotator specifications of a JSON list or of {"voters": [...]}; keys that begin with _ are comments.
 
-    Fails without a name, with a name twice, or with a revision left open.
+    Fails without a name, with a name twice, or where an annotator that is not
+    switched off (``enabled``: false) has no revision or one that holds a placeholder.
     """
     found = json.loads(text)
     specs = [{k: v for k, v in s.items() if not k.startswith("_")} for s in (found["voters"] if isinstance(found, dict) else found)]
     names = [s.get("name") for s in specs]
     if not all(names) or len(set(names)) < len(names):
         raise ValueError("names must be there and differ")
-    unset = [s["name"] for s in specs if not str(s.get("revision") or "").strip() or str(s["revision"]).strip().upper() in ("TODO", "TBD", "FILL ME", "<REVISION>")]
+    revision = lambda s: str(s.get("revision") or "").strip().lower()
+    unset = [s["name"] for s in specs if s.get("enabled", True) and (not revision(s) or any(p in revision(s) for p in PLACEHOLDERS))]
     if unset:
         raise ValueError(f"no revision: {', '.join(unset)}")
     return specs

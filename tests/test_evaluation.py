@@ -1,6 +1,7 @@
 """Evaluation, panel and catalogue operators on small cases with known answers."""
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,7 +93,8 @@ def test_systems_of_a_passage(spark):
     ("quote", "passage", "reason"),
     [
         ("", "x", "empty"), (None, "x", "empty"), ("lake", "the lake", "present_but_exhausted"), ("so", "ſo", "long_s_normalised"), ("The “Lake”", 'the "lake"', "other_normalisation"),
-        ("lake, side", "lakeside", "whitespace_or_punctuation"), ("side lake", "lake by the side", "words_present_reordered_or_gapped"), ("sea", "lake", "not_in_passage_at_all"),
+        ("'lake';", "the lake side", "whitespace_or_punctuation"), ("side lake", "lake by the side", "words_present_reordered_or_gapped"), ("sea", "lake", "not_in_passage_at_all"),
+        ("lake, side", "lakeside", "not_in_passage_at_all"), ("cafe", "the Café", "other_normalisation"), ("a\u2012b", "x a-b", "other_normalisation"), ("houſe  of", "the house of", "other_normalisation"),
     ],
 )
 def test_miss_reason(spark, quote, passage, reason):
@@ -102,12 +104,13 @@ def test_miss_reason(spark, quote, passage, reason):
 
 def test_text_checks(spark):
     one = lambda text, f: spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0]
-    flag = lambda t: T.is_positive(t, ["lake"], ["The"])
-    assert [one(x, flag) for x in ("The end", "a Forêt", "The Keswick", "two lakes", "12 miles", "flakes")] == [False, False, True, True, True, False]
+    flagged = ("The end", "a Forêt", "The Keswick", "two lakes", "three miles", "an hours walk", "flakes", "12 feet", "valleys")
+    assert [one(x, T.is_positive) for x in flagged] == [False, False, True, True, True, True, False, False, False]
     assert one("hé\n", T.git_blob_id) == hashlib.sha1(b"blob 4\0h\xc3\xa9\n").hexdigest()
     assert one("  On  Foot ", lambda t: T.match_key(t, {"on foot": "foot"})) == "foot" and one(" ", T.match_key) is None
     assert [one(x, lambda t: T.transient(t, ["timeout", "503"])) for x in ("HTTP 503", "bad key", None)] == [True, False, False]
-    assert [one(x, lambda t: T.risky_term(t, ["light"])) for x in ("sea", "Light", "boatman", "harbour")] == ["short", "denied", "person", None]
+    terms = ("sea", "Plumber", "boatman", "harbour", "chamber", "cloister", "old boatman", "gatekeeper")
+    assert [one(x, T.risky_term) for x in terms] == ["short", "denied", "person", None, None, None, None, "person"]
 
 
 def test_catalogue(spark, tmp_path):
@@ -119,7 +122,9 @@ def test_catalogue(spark, tmp_path):
     (tmp_path / "y.csv").write_text("id,year\na,1800\nb,n/a\nc,1,2\n")
     assert {r["key"]: r["value"] for r in C.read_pairs(spark, str(tmp_path / "y.csv"), "int").collect()} == {"a": 1800, "b": None, "c": None}
     assert C.load_specs('{"voters": [{"name": "a", "revision": "1", "_note": "x"}]}') == [{"name": "a", "revision": "1"}]
-    for bad in ('[{"name": "a", "revision": ""}]', '[{"name": "a", "revision": "TODO"}]', '[{"name": "a", "revision": "1"}, {"name": "a", "revision": "2"}]', '[{"revision": "1"}]'):
+    off = {"name": "a", "revision": "", "enabled": False}
+    assert C.load_specs(f"[{json.dumps(off)}]") == [off]
+    for bad in ('[{"name": "a", "revision": "todo: pin it"}]', '[{"name": "a", "revision": "fill in"}]', '[{"name": "a", "revision": ""}]', '[{"name": "a", "revision": "TODO"}]', '[{"name": "a", "revision": "1"}, {"name": "a", "revision": "2"}]', '[{"revision": "1"}]'):
         with pytest.raises(ValueError):
             C.load_specs(bad)
     assert C.redacted({"api_key": "x", "n": {"token": "y", "k": 1}}) == {"api_key": "<redacted>", "n": {"token": "<redacted>", "k": 1}}

@@ -126,3 +126,117 @@ def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "pid int, start int, end int, voter string, label string")
     assert S.match(empty, empty).count() == 0 and S.pool(empty).count() == 0
     assert S.tokens(spark.createDataFrame([(1, ""), (2, None)], "pid int, text string")).count() == 0
+
+
+def test_tokens_are_runs_of_anything_but_space(spark):
+    docs = spark.createDataFrame([(1, "one\ttwo\nthree four"), (2, " \u00a0a😀b  c "), (3, " "), (4, "x" * 3000 + " " + "y " * 2000)], "pid int, text string")
+    got = sorted(map(tuple, S.tokens(docs).collect()))
+    assert [r[4] for r in got if r[0] == 1] == ["one", "two", "three", "four"]
+    assert [r[1:] for r in got if r[0] == 2] == [(0, 2, 5, "a😀b"), (1, 7, 8, "c")] and not [r for r in got if r[0] == 3]
+    assert [r[2] for r in got if r[0] == 4] == [0, *range(3001, 7001, 2)]
+    assert "Exchange" not in S.tokens(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_passages_are_matched_and_pooled(spark):
+    spans = spark.range(20_000).select(F.lit(1).alias("pid"), (F.col("id") * 3).cast("int").alias("start"), (F.col("id") * 3 + 2 + F.col("id") % 3).cast("int").alias("end"), F.lit("v").alias("voter"), F.lit("L").alias("label"))
+    other = spans.withColumn("start", F.col("start") + 1).withColumn("voter", F.lit("w"))
+    assert S.match(spans, other).first()["tp"] > 19_000 and S.match(spans, spans).first()["tp"] == 20_000
+    assert S.pool(spans.unionByName(other)).count() > 0 and S.longest_first(spans.withColumn("rank", F.lit(0))).count() > 0
+
+
+def in_order(pred, gold):
+    used, tp = set(), 0
+    for s, e, label in sorted(pred):
+        for k, (a, b, other) in enumerate(sorted(gold)):
+            if k not in used and label == other and s < b and a < e:
+                used.add(k)
+                tp += 1
+                break
+    return tp, len(pred) - tp, len(gold) - len(used)
+
+
+def test_first_overlap_of_equal_label(spark):
+    rng = random.Random(4)
+    side = lambda: [(s, s + rng.randint(1, 6), rng.choice("AB")) for s in rng.sample(range(20), rng.randint(0, 6))]
+    cases = {k: (side(), side()) for k in range(100)}
+    rows = lambda at: spark.createDataFrame([(k, *x) for k, v in cases.items() for x in v[at]], "pid int, start int, end int, label string")
+    got = {r["pid"]: (r["tp"], r["fp"], r["fn"]) for r in S.match(rows(0), rows(1), "any", label=True).collect()}
+    assert got == {k: in_order(p, g) for k, (p, g) in cases.items() if p or g}
+
+
+def test_gazetteer_layers(spark):
+    text = "by Lake Windermere, today; saw Keswick, and left PENRITH. March on the Inn at Grasmere, New York city"
+    passages = spark.createDataFrame([(1, text), (2, None)], "pid int, text string")
+    listed = [("Lake Windermere", "TOPONYM", False), ("Windermere", "TOPONYM", False), ("Keswick", "TOPONYM", False), ("march", "TOPONYM", False), ("inn", "GEONOUN", True), ("lake", "GEONOUN", True), ("New York", "TOPONYM", False), ("york city", "GEONOUN", True), ("penrith", "", True), ("St.", "X", False)]
+    gazetteer = spark.createDataFrame(listed, "surface string, label string, any_case boolean")
+    got = sorted((r["start"], r["surface"], r["label"]) for r in S.gazetteer_spans(passages, gazetteer).collect())
+    want = [("Lake Windermere", "TOPONYM"), ("Keswick", "TOPONYM"), ("Inn", "GEONOUN"), ("New York", "TOPONYM")]
+    assert got == [(text.index(surface), surface, label) for surface, label in want]
+    plain = spark.createDataFrame([("road", "GEONOUN"), ("road bridge", "GEONOUN"), ("the road", "X")], "surface string, label string")
+    found = S.longest_surfaces(spark.createDataFrame([(1, "the road bridge and the road")], "pid int, text string"), plain)
+    assert sorted((r["start"], r["surface"]) for r in found.collect()) == [(4, "road bridge"), (20, "the road")]
+    assert S.gazetteer_spans(passages, gazetteer.limit(0)).count() == 0
+
+
+def test_ground_takes_quotes_literally(spark):
+    passages = spark.createDataFrame([(1, r"a \E b \Q c. (x) a\ a\E"), (2, "x")], "pid int, text string")
+    quotes = spark.createDataFrame([(1, "v", k, q) for k, q in enumerate([r"\E", r"\E", r"\E b \Q", "(x)", "a\\", "c.", r"\Q(x)\E"])], "pid int, voter string, ord int, quote string")
+    got = {r["ord"]: (r["status"], r["start"]) for r in S.ground(quotes, passages).collect()}
+    text = r"a \E b \Q c. (x) a\ a\E"
+    assert got[0] == ("grounded", 2) and got[1] == ("grounded", len(text) - 2) and got[2] == ("grounded", 2) and got[3] == ("grounded", text.index("(x)"))
+    assert got[4] == ("grounded", text.index("a\\")) and got[5] == ("grounded", text.index("c.")) and got[6][0] == "not_in_passage"
+
+
+def test_pooled_votes(spark):
+    rows = [(1, 0, 6, "a", "P"), (1, 0, 13, "b", "P"), (1, 0, 13, "c", "Q"), (1, 20, 25, "a", "P"), (1, 20, 25, "b", "P"), (1, 20, 25, "c", "P"), (2, 0, 2, "c", "Q"), (2, 0, 2, "b", "P")]
+    items = S.pool(spark.createDataFrame(rows, "pid int, start int, end int, voter string, label string"))
+    got = {(r["pid"], r["item"]): (r["n_proposing"], r["modal_label"], r["agreement"], r["unanimous"], r["extent_disagreement"], r["stratum"]) for r in S.pooled_votes(items, ["a", "b", "c"]).collect()}
+    assert got == {(1, 0): (3, "P", 2, False, True, "B_contested"), (1, 1): (3, "P", 3, True, False, "A_unanimous"), (2, 0): (2, "P", 1, False, False, "B_contested")}
+
+
+def by_units(sizes, want):
+    total = sum(sizes.values())
+    want = min(want, total)
+    quota = {k: max(1, round(want * n / total)) for k, n in sizes.items()}
+    while sum(quota.values()) > want:
+        quota[max(quota, key=lambda k: quota[k])] -= 1
+    while sum(quota.values()) < want:
+        quota[max(sizes, key=lambda k: sizes[k] - quota[k])] += 1
+    return quota
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_allocate_equals_one_unit_at_a_time(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{k:02}": rng.choice([1, 2, 3, 10, rng.randint(1, 400)]) for k in range(rng.randint(1, 25))}
+    want = rng.randint(1, 120)
+    got = {r["stratum"]: r["quota"] for r in R.allocate(spark.createDataFrame(list(sizes.items()), "stratum string, size long"), want).collect()}
+    assert got == by_units(sizes, want)
+
+
+def test_samples_with_a_negative_share(spark):
+    rows = spark.createDataFrame([(k, "ab"[k % 2], k % 5 != 0, k) for k in range(200)], "id long, s string, good boolean, rank long")
+    got = R.stratified_sample(rows, "s", "id", 40, positive=F.col("good"), negative_share=0.25).collect()
+    assert len(got) == 40 and sum(not r["good"] for r in got) == 10 and all(r["rank"] == r["id"] for r in got)
+    few = R.stratified_sample(rows.filter("good or id < 20"), "s", "id", 40, positive=F.col("good"), negative_share=0.25).collect()
+    assert len(few) == 40 and sum(not r["good"] for r in few) == 4
+    simple = R.simple_sample(rows, "s", "id", 40, F.col("good"), 0.25).collect()
+    assert len(simple) == 40 and sum(not r["good"] for r in simple) == 10 and len({r["id"] for r in simple}) == 40
+    huge = R.allocate(spark.createDataFrame([("a", 1 << 33), ("b", 5)], "stratum string, size long"), 1 << 32)
+    assert huge.agg(F.sum("quota")).first()[0] == 1 << 32
+
+
+def test_sentences_have_offsets(spark):
+    text = 'Mr. Gray went. He said "go." ␞ And left! (Then) x.'
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "pid int, text string")
+    loose = T.sentences(docs, ["pid"]).collect()
+    assert all(text[r["start"] : r["end"]] == r["sentence"] for r in loose) and {r["pid"] for r in loose} == {1}
+    assert [r["sentence"] for r in loose] == ["Mr. ", "Gray went. ", 'He said "go." ␞ And left! ', "(Then) x."]
+    strict = T.sentences(docs, ["pid"], strict=True).collect()
+    assert [r["sentence"] for r in strict] == ["Mr. Gray went.", 'He said "go." ␞ And left!', "(Then) x."]
+    quoted = T.sentences(spark.createDataFrame([(1, 'He said "go." And left.')], "pid int, text string"), ["pid"]).collect()
+    assert [r["sentence"] for r in quoted] == ['He said "go."', "And left."]
+
+
+def test_dawid_skene_without_votes(spark):
+    assert V.dawid_skene(spark.createDataFrame([], "item long, voter string, label string"), ["A"], ["v"]).count() == 0
