@@ -81,24 +81,29 @@ def has_letter(raw: np.ndarray) -> bool:
     return bool(len(raw)) and any(map(str.isalpha, raw.tobytes().decode("utf-8", "replace")))
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 25, seed: int = 7) -> np.ndarray:
-    """Dual coordinate descent for the L2-loss linear support vector machine; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
-    w, alpha = np.zeros(x.shape[1], dtype=np.float64), np.zeros(len(x))
-    diagonal = (x**2).sum(1) + 0.5 / cost
+def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 25, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the L2-loss linear support vector machine over ``rows`` of ``x``: weights and bias.
+
+    No part of ``x`` is copied: it is the driver's largest array.
+    """
+    w, bias, alpha = np.zeros(x.shape[1], dtype=np.float64), 0.0, np.zeros(len(rows))
+    diagonal = np.einsum("ij,ij->i", x, x)[rows] + 1.0 + 0.5 / cost
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            gradient = y[i] * float(x[i] @ w) - 1 + 0.5 / cost * alpha[i]
+        for i in rng.permutation(len(rows)):
+            own = x[rows[i]]
+            gradient = y[i] * (float(own @ w) + bias) - 1 + 0.5 / cost * alpha[i]
             new = max(alpha[i] - gradient / diagonal[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * own
+                bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w
+    return w, bias
 
 
 def _slope(margins: np.ndarray, y: np.ndarray) -> float:
@@ -124,18 +129,19 @@ class Duels:
     @classmethod
     def fit(cls, x: np.ndarray, label: np.ndarray, classes: list[str]) -> Duels:
         out = cls(classes)
-        w, s = [], []
+        w, c, s = [], [], []
         for a in range(len(classes)):
             for b in range(a + 1, len(classes)):
-                own = (label == classes[a]) | (label == classes[b])
+                own = np.flatnonzero((label == classes[a]) | (label == classes[b]))
                 y = np.where(label[own] == classes[a], 1.0, -1.0)
-                fitted = linear_svm(x[own], y)
+                weights, bias = linear_svm(x, own, y)
+                weights = weights.astype(np.float32)
                 out.pairs.append((a, b))
-                w.append(fitted)
-                s.append(_slope(x[own] @ fitted[:-1] + fitted[-1], y))
+                w.append(weights)
+                c.append(bias)
+                s.append(_slope((x @ weights)[own] + bias, y))
         if w:
-            stacked = np.array(w)
-            out.weights, out.bias, out.slope = stacked[:, :-1].T.astype(np.float32).copy(), stacked[:, -1], np.array(s)
+            out.weights, out.bias, out.slope = np.array(w).T.copy(), np.array(c), np.array(s)
         return out
 
     def decide(self, v: np.ndarray) -> tuple[str, float]:
@@ -186,12 +192,12 @@ def fit(docs: DataFrame, train, id_column: str = "doc_id", per_language: int = 4
     if not got:
         return None
     label = np.array([g[0] for g in got], dtype=object)
-    x = np.frombuffer(b"".join(g[1] for g in got), dtype=np.float16).reshape(len(got), DIMS).astype(np.float32)
+    x = np.empty((len(got), DIMS), dtype=np.float32)
+    for k, (_, vector) in enumerate(got):
+        x[k] = np.frombuffer(vector, dtype=np.float16)
+    del got
     family = np.array([FAMILY_OF.get(code, code) for code in label], dtype=object)
-    return Model(
-        Duels.fit(x, family, sorted(set(family))),
-        {f: Duels.fit(x[family == f], label[family == f], sorted(set(label[family == f]))) for f in set(family)},
-    )
+    return Model(Duels.fit(x, family, sorted(set(family))), {f: Duels.fit(x, label, sorted(set(label[family == f]))) for f in set(family)})
 
 
 def identify(docs: DataFrame, model: Model | None, id_column: str = "doc_id") -> DataFrame:
