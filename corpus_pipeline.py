@@ -15,6 +15,16 @@ from marginalia.scratch import materialize
 from marginalia.tables import table
 
 
+def _begin(spark: SparkSession) -> None:
+    """What a stage starts with: batches for texts, and a driver that has given up the stage behind it.
+
+    Spark's own cleaner collects every half hour for the same end, so that
+    broadcasts and shuffles of finished jobs go; stages of minutes don't wait for it.
+    """
+    batches_of(spark, TEXTS)
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A language is told where the model is surer of it than not.
 SURE = 0.5
 
@@ -27,7 +37,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     gets the same score; an empty table stays empty.  The caller's columns come
     out as they were, one named ``score`` among them.
     """
-    batches_of(spark, TEXTS)
+    _begin(spark)
     rows, back = set_aside(docs, "score")
     model = quality.fit(rows, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
     return quality.score(rows, model).filter(F.col("score") >= 0.7).drop("score").withColumnsRenamed(back).select(*docs.columns)
@@ -41,7 +51,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     go or stay together; an empty table stays empty.  The caller's columns come
     out as they were, ``lang_pred`` and ``score`` among them.
     """
-    batches_of(spark, TEXTS)
+    _begin(spark)
     rows, back = set_aside(docs, "lang_pred", "score")
     found = langid.identify(rows, langid.fit(rows, ~held_out(F.col("doc_id"), 3, 1)))
     told = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE))
@@ -58,7 +68,7 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     or goes by its own text, and a row without an id goes only where a row that
     stays, with an id if there is one, is its near copy.
     """
-    batches_of(spark, TEXTS)
+    _begin(spark)
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter((F.col("rows") > 1) | F.col("doc_id").isNull())
     if repeated.isEmpty():
         found = materialize(neardedup.near_duplicates(docs), "kept-copies")
@@ -87,13 +97,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source, the last; a null or empty text has no word and is
     taken at its source's rate; rows without an id share one draw.
     """
-    batches_of(spark, TEXTS)
+    _begin(spark)
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens over the mix; a null or empty text is its end alone, each copy is packed."""
-    batches_of(spark, TEXTS)
+    _begin(spark)
     return packing.op5_packing(docs)
 
 
