@@ -92,24 +92,26 @@ def relation_counts(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return both.groupBy("pid").agg(F.count_if(hit).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
 
 
-def segments(sentences: DataFrame, budget: int) -> DataFrame:
+def segments(sentences: DataFrame, budget: int, overlap: int = 0) -> DataFrame:
     """pid, seg, text: whole sentences put together up to ``budget`` characters; a longer one stands alone.
 
+    A new segment begins with the last sentences of the one before, as many as
+    ``overlap`` characters hold, unless its first own sentence then has no room.
     A fold over a passage's own sentences.
     """
     rows = sentences.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("all"))
-    fold = f"""aggregate(all, cast(array() as array<string>), (acc, s) ->
-      if(size(acc) > 0 and length(element_at(acc, -1)) + 1 + length(s) <= {int(budget)},
-         concat(slice(acc, 1, size(acc) - 1), array(concat(element_at(acc, -1), ' ', s))), concat(acc, array(s))))"""
+    joined = lambda x: f"array_join({x}, ' ')"
+    kept = f"filter(transform(sequence(1, size(a.now)), i -> slice(a.now, i, size(a.now))), x -> length({joined('x')}) <= {int(overlap)})"
+    carry = f"coalesce(get({kept}, 0), slice(a.now, 1, 0))"
+    fold = f"""aggregate(all, named_struct('done', cast(array() as array<string>), 'now', cast(array() as array<string>)), (a, s) ->
+      if(size(a.now) = 0, named_struct('done', a.done, 'now', array(s)),
+      if(length({joined("a.now")}) + 1 + length(s) <= {int(budget)}, named_struct('done', a.done, 'now', array_append(a.now, s)),
+        named_struct('done', array_append(a.done, {joined("a.now")}),
+          'now', if(length({joined(carry)}) + 1 + length(s) <= {int(budget)}, array_append({carry}, s), array(s))))),
+      a -> if(size(a.now) = 0, a.done, array_append(a.done, {joined("a.now")})))"""
     return rows.select("pid", F.posexplode(F.expr(fold)).alias("seg", "text"))
 
 
-def facet_scores(counts: DataFrame, facet: str, least: int = 15) -> DataFrame:
-    """Summed tp, fp, fn by a facet (null: unknown) with at least ``least`` reference spans."""
-    sums = counts.groupBy(F.coalesce(F.col(facet), F.lit("unknown")).alias(facet)).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return sums.filter(F.col("tp") + F.col("fn") >= least)
-
-
 def violations(spans: DataFrame, passages: DataFrame) -> DataFrame:
     """span rows whose offsets do not give their text, or whose passage is not there."""
     met = spans.join(passages.select("pid", F.col("text").alias("passage")), "pid", "left")

@@ -1,3 +1,3 @@
 
 
-from marginalia.plans import evaluation as evaluation  # registers its queries
+from marginalia.plans import evaluation as evaluation, methods as methods  # register their queries
