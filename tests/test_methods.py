@@ -61,7 +61,7 @@ def test_offset_maps():
     assert clean == " saw Keswick, and left " and len(places) == len(clean)
     at = clean.index("Keswick")
     assert raw[places[at] : places[at + 6] + 1] == "Keswick"
-    assert M.rebased("  the  Lake\n District ", [(7, 20)]) == ("the Lake District", [(4, 17, "Lake District")])
+    assert M.rebased("  the  Lake\n District ", [(7, 21)]) == ("the Lake District", [(4, 17, "Lake District")])
 
 
 def test_segments_may_overlap(spark):
