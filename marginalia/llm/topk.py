@@ -3,9 +3,10 @@
 Each dimension is a list of candidates sorted by their contribution to a
 query's score.  All lists are read sequentially to the same depth; a candidate
 seen in some lists has a lower and an upper bound of its score, one seen in
-none is bounded by the lists' frontiers.  Reading goes deeper until no
-candidate outside the k best lower bounds can still qualify, then the scores of
-those that remain are resolved exactly.
+none is bounded by the lists' frontiers.  Only entries that the reading has
+passed enter a bound.  Reading goes deeper until no candidate outside the k best
+lower bounds can still qualify, then the scores of those that remain are
+resolved exactly.
 
 Queries and candidates meet in blocks of bounded size, (query block x candidate
 block), each of which runs on its own; a threshold carries over between the
@@ -29,44 +30,63 @@ CHUNK = 4096
 
 
 class Lists:
-    """The sorted lists of one chunk, one a dimension."""
+    """The sorted lists of one chunk, one a dimension, greatest component first.
+
+    ``place`` and ``sorted`` are a list's entries, row and component; ``rank`` is
+    where a row stands in each list.  Components are read from the lists alone;
+    the rows themselves only give the scores of those that remain.
+    """
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values, self.start = ids, values, len(ids) // 2
-        self.sorted = -np.sort(-values, axis=0)
+        self.place = np.argsort(-values.T, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values.T, self.place, axis=1)
+        self.rank = np.argsort(self.place, axis=1).astype(np.int32)
+
+    def read(self, total: np.ndarray, lists: np.ndarray, weights: np.ndarray, begin: int, end: int) -> None:
+        """Add the entries ``begin`` to ``end`` of ``lists`` to the totals of their rows."""
+        rows = self.place[lists, begin:end].ravel()
+        shares = (self.sorted[lists, begin:end] * weights[lists, None]).ravel()
+        if total.dtype == np.float64:
+            total += np.bincount(rows, shares, len(total))
+        else:
+            np.add.at(total, rows, shares)
 
     def top(self, weights: np.ndarray, k: int, floor: int | None, exclude: int) -> tuple[np.ndarray, np.ndarray]:
         """Candidates that may be among the k best, with exact scores.
 
         ``floor``: a score that k others reach already.  ``exclude``: the
-        query's own id.  Down to ``depth`` every list has shown the
-        contributions that are at its frontier or above it; what it has not
-        shown lies between its end and the frontier.
+        query's own id.  Lists of positive weight are read from their head, those
+        of negative weight from their tail, those of weight 0 not at all.  Down
+        to ``depth`` a row has the total of the entries read; an entry not read
+        yet lies between its list's far end and its frontier.
         """
         n = len(self.values)
-        up = weights >= 0
-        best = np.where(up, self.sorted[0], self.sorted[-1])
-        if floor is not None and int(best @ weights) < floor:
+        heads, tails = np.flatnonzero(weights > 0), np.flatnonzero(weights < 0)
+        if floor is not None and self.sorted[heads, 0] @ weights[heads] + self.sorted[tails, -1] @ weights[tails] < floor:
             return self.ids[:0], self.ids[:0]
-        worst = np.where(up, self.sorted[-1], self.sorted[0]) * weights
+        far = np.concatenate([self.sorted[heads, -1] * weights[heads], self.sorted[tails, 0] * weights[tails]])
+        total = np.zeros(n, weights.dtype)
         alive = np.flatnonzero(self.ids != exclude)
-        contribution = self.values * weights
-        depth = min(n, max(4 * k, self.start))
+        done, depth = 0, min(n, max(4 * k, self.start))
         while True:
-            frontier = np.where(up, self.sorted[depth - 1], self.sorted[n - depth]) * weights
-            own = contribution if len(alive) == n else contribution[alive]
-            high = np.maximum(own, frontier).sum(1)
+            self.read(total, heads, weights, done, depth)
+            self.read(total, tails, weights, n - depth, n - done)
+            near = np.concatenate([self.sorted[heads, depth - 1] * weights[heads], self.sorted[tails, n - depth] * weights[tails]])
+            ranks = self.rank if len(alive) == n else self.rank[:, alive]
+            unread = np.concatenate([ranks[heads] >= depth, ranks[tails] < n - depth]).astype(weights.dtype)
+            high = total[alive] + near @ unread
             line = floor
-            if len(alive) >= k and (floor is None or len(alive) < n // 8):
-                low = np.where(own >= frontier, own, worst).sum(1)
-                kth = int(np.partition(low, len(low) - k)[len(low) - k])
+            if len(alive) >= k:
+                low = total[alive] + far @ unread
+                kth = np.partition(low, len(low) - k)[len(low) - k]
                 line = kth if line is None else max(line, kth)
             if line is not None:
                 alive = alive[high >= line]  # outsiders, seen or not, cannot qualify
             if len(alive) <= 4 * k or depth == n:
                 self.start = (self.start + depth) // 2  # near where the next query is likely to stop
-                return self.ids[alive], contribution[alive].sum(1)
-            depth = min(n, depth + max(1, (n - depth + 1) // 2))
+                return self.ids[alive], (self.values[alive] @ weights).astype(np.int64)
+            done, depth = depth, min(n, depth + max(1, (n - depth + 1) // 2))
 
 
 def usable(vector: Column) -> Column:
@@ -112,9 +132,9 @@ def top_k(
         if not len(qid) or not len(cid):
             return schema.empty_table()
         order = np.argsort(cid, kind="stable")
-        reach = max(np.abs(qv).max(initial=0), 1) * max(np.abs(cv).max(initial=0), 1) * max(qv.shape[1], 1)
-        if reach < 1 << 31:  # every sum fits in half the width
-            qv, cv = qv.astype(np.int32), cv.astype(np.int32)
+        reach = int(max(np.abs(qv).max(initial=0), 1)) * int(max(np.abs(cv).max(initial=0), 1)) * max(qv.shape[1], 1)
+        if reach < 1 << 52:  # every sum is a whole number that a double holds
+            qv, cv = qv.astype(np.float64), cv.astype(np.float64)
         cid, cv = cid[order], cv[order]
         chunks = [Lists(cid[i : i + CHUNK], cv[i : i + CHUNK]) for i in range(0, len(cid), CHUNK)]
         out: list[np.ndarray] = []

@@ -169,18 +169,39 @@ def test_cover_tree_levels_halve():
     walk(covertree.cover(x, np.arange(300), 0, 2.0), 2.0)
 
 
-def test_no_random_access_top_k():
+@pytest.mark.parametrize("kind", [np.int64, np.float64])
+def test_no_random_access_top_k(kind):
     rng = np.random.default_rng(5)
-    values = rng.integers(-60, 60, (500, 6))
+    values = rng.integers(-60, 60, (500, 6)).astype(kind)
     lists = topk.Lists(np.arange(500), values)
     for _ in range(60):
-        q = rng.integers(-60, 60, 6)
+        q = rng.integers(-60, 60, 6).astype(kind)
         ids, scores = lists.top(q, 5, None, 7)
-        best = sorted((-(int(values[i] @ q)), i) for i in range(500) if i != 7)[:5]
+        best = sorted((-int(values[i] @ q), i) for i in range(500) if i != 7)[:5]
         got = sorted((-int(s), int(i)) for i, s in zip(ids, scores))[:5]
         assert got == best
 
 
+def test_top_k_reads_lists_in_order_and_stops():
+    class Counted(topk.Lists):
+        def read(self, total, lists, weights, begin, end):
+            spans.extend([(begin, end)] * bool(len(lists)))
+            super().read(total, lists, weights, begin, end)
+
+    values = np.zeros((1000, 4))
+    values[:10] = np.arange(1000, 1010)[:, None]  # ten rows lead every list
+    lists = Counted(np.arange(1000), values)
+    lists.start, spans = 20, []
+    ids, scores = lists.top(np.ones(4), 5, None, -1)
+    assert set(range(5, 10)) <= set(ids.tolist()) and max(end for _, end in spans) == 20
+    lists.start, spans = 20, []
+    mixed = np.random.default_rng(1).normal(size=(1000, 4)).round(3)
+    lists = Counted(np.arange(1000), mixed)
+    lists.top(np.ones(4), 5, None, -1)
+    assert len(spans) > 1 and spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))  # on from where it stopped
+    assert lists.top(np.zeros(4), 5, None, 3)[0].size == 999  # no list to read: all tie
+
+
 def test_factorisation_machine_identity():
     rng = np.random.default_rng(6)
     m = quality.Machine(0.3, rng.normal(size=quality.FEATURES), rng.normal(size=(quality.FEATURES, 3)), np.zeros(len(quality.STATS)), np.ones(len(quality.STATS)))
