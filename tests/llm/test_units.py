@@ -194,9 +194,8 @@ def test_top_k_reads_lists_in_order_and_stops():
     lists.start, spans = 20, []
     ids, scores = lists.top(np.ones(4), 5, None, -1)
     assert set(range(5, 10)) <= set(ids.tolist()) and max(end for _, end in spans) == 20
+    lists = Counted(np.arange(1000), np.random.default_rng(1).normal(size=(1000, 4)).round(3))
     lists.start, spans = 20, []
-    mixed = np.random.default_rng(1).normal(size=(1000, 4)).round(3)
-    lists = Counted(np.arange(1000), mixed)
     lists.top(np.ones(4), 5, None, -1)
     assert len(spans) > 1 and spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))  # on from where it stopped
     assert lists.top(np.zeros(4), 5, None, 3)[0].size == 999  # no list to read: all tie
