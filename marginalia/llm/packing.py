@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -126,6 +127,21 @@ def ranked(rows: DataFrame, counts_by_group: DataFrame, order: list[str]) -> Dat
     return numbered.join(bases, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("base")).drop("own", "base")
 
 
+def buckets(slots: list, totals: dict[int, int]) -> tuple[dict[int, int], list[tuple]]:
+    """Width of a bucket of ranks for each length, and every planned range once for each bucket it reaches into.
+
+    A length has about as many buckets as ranges, so there are at most three
+    times as many rows as ranges, and a document meets few ranges of its length.
+    """
+    n = Counter(int(s[0]) for s in slots)
+    widths = {length: max(1, -(-int(totals[length]) // k)) for length, k in n.items()}
+    out = []
+    for length, first, count, sequence, offset in (tuple(map(int, s)) for s in slots):
+        width = widths[length]
+        out += [(length, at, first, count, sequence, offset) for at in range(first // width, (first + count - 1) // width + 1)]
+    return widths, out
+
+
 def pack(docs: DataFrame, capacity: int = 1024, encoder: Encoder | None = None, id_column: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Every row's pieces with ``sequence_id`` and ``offset``.
 
@@ -139,16 +155,17 @@ def pack(docs: DataFrame, capacity: int = 1024, encoder: Encoder | None = None,
     totals = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _ = plan(totals, capacity)
     spark = docs.sparkSession
-    schema = "length long, first long, count long, sequence long, offset long"
-    table = spark.createDataFrame([tuple(map(int, s)) for s in slots], schema)
+    widths, bucketed = buckets(slots, totals)
+    table = spark.createDataFrame(bucketed, "of long, cell long, first long, count long, sequence long, offset long")
+    steps = spark.createDataFrame(list(widths.items()), "length long, width long")  # a row a length
     parts = max(1, -(-max(totals.values(), default=0) // GROUP))
     rows = stored.withColumn("salt", F.col("salt") % parts)
     counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
     rows = ranked(rows, counts, [id_column, "piece", "ids_crc32"])
     # ``plan`` makes fewer ranges than about capacity squared, whatever the number of documents.
-    goal = F.broadcast(table.withColumnRenamed("length", "of"))
-    inside = (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count"))
-    placed = rows.join(goal, inside).withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first"))
+    rows = rows.join(F.broadcast(steps), "length").withColumn("at", F.expr("rank div width"))
+    inside = (F.col("length") == F.col("of")) & (F.col("at") == F.col("cell")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count"))
+    placed = rows.join(F.broadcast(table), inside).withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first"))
     return placed.select(id_column, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
 
 

@@ -121,6 +121,11 @@ def test_plan_fills_without_gaps(counts):
     for length, n in counts.items():
         ranks = sorted(r for s in slots if s.length == length for r in range(s.rank, s.rank + s.count))
         assert ranks == list(range(n))
+    widths, cells = packing.buckets(slots, counts)
+    assert len(cells) <= 3 * len(slots)
+    for length, n in counts.items():
+        for r in range(n):
+            assert sum(c[2] <= r < c[2] + c[3] for c in cells if c[:2] == (length, r // widths[length])) == 1
     assert made <= sum(k * v for k, v in counts.items()) / 32 + 1
 
 
