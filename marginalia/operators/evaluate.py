@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from marginalia.functions.spans import f1, precision, recall
 
@@ -113,9 +114,27 @@ def gate(rows: DataFrame, marker: Column, what: str) -> DataFrame:
 
 
 def holdout_split(rows: DataFrame, by: str, order: str, of: int = 15, last: int = 3) -> DataFrame:
-    """split (train, dev): of every ``of`` rows of a category in order, the ``last`` are for development."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return rows.withColumn("split", F.when(place % of >= of - last, "dev").otherwise("train"))
+    """split (train, dev): of every ``of`` rows of a category in order, the ``last`` are for development.
+
+    A row's place is its place in its bucket of the category (cut at 255
+    quantiles of a numeric ``order``) plus the sizes of the buckets before, so a
+    category that holds most rows is not sorted in one task.  An order that is
+    no number has one bucket.  Null categories are one category; a null order
+    comes first.
+    """
+    bucket = F.lit(0)
+    if isinstance(rows.schema[order].dataType, NumericType):
+        cuts = rows.groupBy(F.col(by).alias("__by")).agg(F.percentile_approx(order, [i / 256 for i in range(1, 256)], 2560).alias("__cuts"))
+        rows = rows.join(cuts, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
+        bucket = F.coalesce(F.size(F.filter(F.col("__cuts"), lambda x: x < F.col(order))), F.lit(0))
+    placed = rows.withColumn("__bucket", bucket).drop("__cuts")
+    sizes = placed.groupBy(F.col(by).alias("__by"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__by").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))  # 256 rows a category at most
+    bases = sizes.select("__by", "__b", F.coalesce(before, F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy(by, "__bucket").orderBy(order)) - 1
+    met = placed.withColumn("__own", own).join(bases, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__bucket") == F.col("__b")))
+    place = F.col("__base") + F.col("__own")
+    return met.withColumn("split", F.when(place % of >= of - last, "dev").otherwise("train")).drop("__by", "__b", "__bucket", "__base", "__own")
 
 
 def queue(items: DataFrame, key: str, unanimous: str, sample: int = 40, seed: str = "2026") -> DataFrame:

@@ -1,3 +1,3 @@
 
 
-from marginalia.plans import evaluation as evaluation, methods as methods  # register their queries
+from marginalia.plans import evaluation as evaluation, methods as methods, workbench as workbench  # register their queries
