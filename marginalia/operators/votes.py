@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.scratch import materialize
+
 ABSTAIN, REJECT = "NONE", "REJECT"
 
 
@@ -63,47 +66,93 @@ def calibration(items: DataFrame, n_voters: int) -> DataFrame:
     return out.select("k", "n_auto", F.round(F.try_divide(F.col("good").cast("double"), F.col("n_auto")), 6).alias("precision"), F.round(F.col("n_auto").cast("double") / F.col("total"), 6).alias("coverage"), (F.col("total") - F.col("n_auto")).alias("burden"))
 
 
-def dawid_skene(votes: DataFrame, labels: list[str], voters: list[str], rounds: int = 200, tolerance: float = 1e-7, reject_weight: float = 50.0) -> DataFrame:
+class _Model:
+    """The two steps of the estimation over a block of vote patterns."""
+
+    def __init__(self, labels: list[str], n_voters: int, reject_weight: float):
+        self.seen, self.n_latent, self.n_voters, self.reject_weight = [*labels, ABSTAIN], len(labels) + 1, n_voters, reject_weight
+        self.at = {x: i for i, x in enumerate(self.seen)}
+
+    def votes(self, patterns) -> np.ndarray:
+        """One-hot pattern x voter x vote."""
+        code = np.array([[self.at[x] for x in p.split("|")] for p in patterns]).reshape(-1, self.n_voters)
+        return np.eye(len(self.seen))[code]
+
+    def expect(self, votes: np.ndarray, parameters: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors and log-likelihoods; without parameters, the votes' shares to begin with."""
+        if parameters is None:
+            start = votes.sum(1)
+            post = np.hstack([start[:, :-1], 0.5 * start[:, -1:]]) + 1e-6
+            return post / post.sum(1, keepdims=True), np.zeros(len(votes))
+        prior, table = parameters
+        log = np.log(prior)[None] + np.einsum("pvo,vlo->pl", votes, np.log(table))
+        top = log.max(1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(log - top).sum(1))
+        return np.exp(log - total[:, None]), total
+
+    def sums(self, votes: np.ndarray, n: np.ndarray, parameters) -> np.ndarray:
+        """Log-likelihood, weight of each latent label, and weight of voter x latent x vote, in one flat array."""
+        post, total = self.expect(votes, parameters)
+        weight = post * n[:, None]
+        return np.concatenate([[total @ n], weight.sum(0), np.einsum("pl,pvo->vlo", weight, votes).ravel()])
+
+    def maximise(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        prior = sums[1 : 1 + self.n_latent] + 1e-9
+        table = sums[1 + self.n_latent :].reshape(self.n_voters, self.n_latent, len(self.seen)) + 1e-9
+        table[:, -1, -1] += self.reject_weight
+        table[:, -1, :-1] += 0.02 * self.reject_weight
+        return prior / prior.sum(), table / table.sum(2, keepdims=True)
+
+
+def dawid_skene(votes: DataFrame, labels: list[str], voters: list[str], rounds: int = 200, tolerance: float = 1e-7, reject_weight: float = 50.0, most: int = 100_000) -> DataFrame:
     """item, latent, posterior by expectation-maximisation over vote patterns.
 
     Items with the same votes have the same posterior, so the iteration works on
-    the distinct patterns and their counts, and posteriors are joined back.
-    ``patterns`` on the driver are at most (labels + 1) ** voters.  Without votes
-    there are no rows.
+    the distinct patterns and their counts, and posteriors are joined back.  Up
+    to ``most`` patterns are kept on the driver; where there are more they stay
+    in a written table, and of each round only sums of voters x labels squared
+    reach the driver.  The steps are the same.  Without votes there are no rows.
     """
     known = F.when(F.col("label").isin(labels), F.col("label")).otherwise(ABSTAIN)
     wide = votes.withColumn("label", known).groupBy("item").pivot("voter", voters).agg(F.min("label")).na.fill(ABSTAIN, voters)
     wide = wide.withColumn("pattern", F.concat_ws("|", *[F.col(f"`{v}`") for v in voters]))
-    patterns = wide.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
-    if not len(patterns):
+    model, latent = _Model(labels, len(voters), reject_weight), [*labels, REJECT]
+    counted = wide.groupBy("pattern").agg(F.count("*").alias("n"))
+    few = counted.limit(most + 1).toPandas().sort_values("pattern")
+    if not len(few):
         return wide.select("item", F.lit(None).cast("string").alias("latent"), F.lit(None).cast("double").alias("posterior"))
-    latent, seen = [*labels, REJECT], [*labels, ABSTAIN]
-    code = np.array([[seen.index(x) for x in p.split("|")] for p in patterns["pattern"]])
-    n = patterns["n"].to_numpy(float)
-    onehot = np.eye(len(seen))[code]
-    start = onehot.sum(1)
-    post = np.hstack([start[:, :-1], 0.5 * start[:, -1:]]) + 1e-6
-    post /= post.sum(1, keepdims=True)
-    last = -np.inf
+    if len(few) <= most:
+        held, n = model.votes(few["pattern"]), few["n"].to_numpy(float)
+        step = lambda parameters: model.sums(held, n, parameters)
+    else:
+        counted = materialize(counted, "vote-patterns")
+
+        def step(parameters):
+            def partial(blocks):
+                total = None
+                for block in blocks:
+                    own = model.sums(model.votes(block["pattern"]), block["n"].to_numpy(float), parameters)
+                    total = own if total is None else total + own
+                if total is not None:
+                    yield pd.DataFrame({"sums": [total.tolist()]})
+
+            return np.sum([r["sums"] for r in counted.mapInPandas(partial, "sums array<double>").collect()], axis=0)
+
+    sums, last, parameters = step(None), -np.inf, None
     for _ in range(rounds):
-        weight = post * n[:, None]
-        prior = weight.sum(0) + 1e-9
-        prior /= prior.sum()
-        table = np.einsum("pl,pvo->vlo", weight, onehot) + 1e-9
-        table[:, -1, -1] += reject_weight
-        table[:, -1, :-1] += 0.02 * reject_weight
-        table /= table.sum(2, keepdims=True)
-        log = np.log(prior)[None] + np.einsum("pvo,vlo->pl", onehot, np.log(table))
-        top = log.max(1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(log - top).sum(1))
-        post = np.exp(log - total[:, None])
-        value = float((total * n).sum())
-        if abs(value - last) < tolerance:
+        parameters = model.maximise(sums)
+        sums = step(parameters)
+        if abs(sums[0] - last) < tolerance:
             break
-        last = value
-    spark = votes.sparkSession
-    rows = [(p, name, float(post[i, k])) for i, p in enumerate(patterns["pattern"]) for k, name in enumerate(latent)]
-    found = spark.createDataFrame(rows, "pattern string, latent string, posterior double")
+        last = sums[0]
+
+    def scored(blocks):
+        for block in blocks:
+            post, _ = model.expect(model.votes(block["pattern"]), parameters)
+            yield pd.DataFrame({"pattern": np.repeat(block["pattern"].to_numpy(), len(latent)), "latent": latent * len(block), "posterior": post.ravel()})
+
+    schema = "pattern string, latent string, posterior double"
+    found = votes.sparkSession.createDataFrame(next(scored([few])), schema) if len(few) <= most else counted.mapInPandas(scored, schema)
     return wide.select("item", "pattern").join(found, "pattern").select("item", "latent", "posterior")
 
 
@@ -133,8 +182,6 @@ def bootstrap_f1(counts: DataFrame, by: str, replicates: int = 1000, seed: int =
     kinds = counts.groupBy(by, "tp", "fp", "fn").agg(F.count("*").alias("n"))
 
     def resample(key, rows):
-        import pandas as pd
-
         n = rows["n"].to_numpy()
         draws = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), size=replicates)
         tp, fp, fn = (draws @ rows[c].to_numpy(float) for c in ("tp", "fp", "fn"))

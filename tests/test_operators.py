@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from marginalia.functions import affect, geo, text as T
@@ -240,3 +241,15 @@ def test_sentences_have_offsets(spark):
 
 def test_dawid_skene_without_votes(spark):
     assert V.dawid_skene(spark.createDataFrame([], "item long, voter string, label string"), ["A"], ["v"]).count() == 0
+
+
+def test_dawid_skene_without_patterns_on_the_driver(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"v{k}", str(rng.choice(["A", "B", "C", "other"], p=[0.5, 0.3, 0.1, 0.1]))) for i in range(300) for k in range(4) if rng.random() < 0.8]
+    votes = spark.createDataFrame(rows, "item long, voter string, label string").repartition(3)
+    own = [f"v{k}" for k in range(4)]
+    a, b = (V.dawid_skene(votes, ["A", "B", "C"], own, rounds=8, tolerance=0.0, most=m) for m in (1000, 5))
+    a, b = ({(r["item"], r["latent"]): r["posterior"] for r in x.collect()} for x in (a, b))
+    assert a.keys() == b.keys() and len(a) == 4 * len({r[0] for r in rows}) and max(abs(a[k] - b[k]) for k in a) < 1e-9
+    for i in {r[0] for r in rows}:
+        assert abs(sum(a[i, x] for x in ("A", "B", "C", "REJECT")) - 1) < 1e-9
