@@ -12,30 +12,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import spans as S
-from marginalia.functions.text import LETTER, SPACE, running
+from marginalia.functions.text import LETTER
+from marginalia.operators import cuts
+from marginalia.scratch import materialize
 
 
-def runs(passages: DataFrame, kind: str, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, ``runs`` (the text cut into runs of ``kind`` and of other characters) and ``starts``."""
-    cut = passages.select(*keep, F.regexp_extract_all(text, F.lit(f"[{kind}]+|[^{kind}]+"), F.lit(0)).alias("runs"))
-    sized = cut.withColumn("__lengths", F.transform("runs", F.length))
-    return sized.withColumn("starts", running("__lengths")).drop("__lengths")
-
-
-def tokens(passages: DataFrame, pid: str = "pid", text: str = "text") -> DataFrame:
+def tokens(passages: DataFrame, pid: str = "pid", text: str = "text", before: int = 0) -> DataFrame:
     """pid, pos, start, end, word: runs of anything but white space, with code-point offsets.
 
-    Offsets are summed within the row: no shuffle.  A null or empty text has no token.
+    Offsets are found within the row: no shuffle.  A null or empty text has no
+    token.  ``before``: so many of the words that precede each, as columns
+    ``before1`` (the nearest) and on.
     """
-    each = runs(passages, SPACE, [pid], text).select(pid, F.posexplode(F.arrays_zip("starts", "runs")).alias("at", "run"))
-    words = each.select(pid, F.floor(F.col("at") / 2).cast("int").alias("pos"), F.col("run.starts").alias("start"), F.col("run.runs").alias("word"))
-    kept = words.filter(~F.col("word").rlike(f"^[{SPACE}]"))
-    return kept.select(pid, "pos", "start", (F.col("start") + F.length("word")).alias("end"), "word")
+    return cuts.tokens(passages, pid, text, before)
+
+
+def tokens_listed(passages: DataFrame, surfaces: DataFrame, pid: str = "pid", text: str = "text") -> DataFrame:
+    """Tokens with ``listed``: false only for words that are, in any case, no value of column ``surface``."""
+    return cuts.tokens(passages, pid, text, bits=cuts.listed_bits(surfaces))
 
 
 def build_gazetteer(words: DataFrame, pid: str = "pid", least: int = 3, most: int | None = None) -> DataFrame:
-    """term, df: words by the number of passages that hold them."""
-    counted = words.select(pid, F.lower("word").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    """term, df: words by the number of passages that hold them; a null passage counts as none."""
+    return _frequent(words.select(pid, F.lower("word").alias("term")).distinct(), pid, least, most)
+
+
+def gazetteer_of_texts(passages: DataFrame, pid: str = "pid", text: str = "text", least: int = 3, most: int | None = None) -> DataFrame:
+    """The same of whole texts: a word is made single within its row, so only counts are shuffled.
+
+    Where passages share an id (that is counted first), (id, word) pairs are made single by a shuffle.
+    """
+    once = cuts.terms(passages.filter(F.col(pid).isNotNull()), pid, text)
+    shared = not passages.filter(F.col(pid).isNotNull()).groupBy(pid).count().filter("count > 1").isEmpty()
+    return _frequent(once.distinct() if shared else once, pid, least, most)
+
+
+def _frequent(once: DataFrame, pid: str, least: int, most: int | None) -> DataFrame:
+    counted = once.groupBy("term").agg(F.count(pid).alias("df"))
     kept = counted.filter(F.col("df") >= least)
     return kept if most is None else kept.filter(F.col("df") <= most)
 
@@ -66,20 +79,13 @@ def surface_hits(passages: DataFrame, gazetteer: DataFrame, pid: str = "pid", te
     one or more words with what stands between them; it matches literally, or in
     any case where ``any_case``, from a word's start to a word's end, so it must
     begin and end with a letter, digit or underscore (others match nothing).
-    Runs of as many words as the surfaces have are joined to them by equality.
+    Runs of as many words as the surfaces have are joined to them by equality,
+    after a filter of fixed size has left out nearly all that match nothing.
     """
-    word = f"[{LETTER}]+"
     listed = gazetteer if "any_case" in gazetteer.columns else gazetteer.withColumn("any_case", F.lit(False))
-    listed = listed.filter(F.col("surface").rlike(f"^[{LETTER}]") & F.col("surface").rlike(f"[{LETTER}]$"))
-    widths = sorted(r["k"] for r in listed.select(F.regexp_count("surface", F.lit(word)).alias("k")).distinct().collect())
-    if not widths:
-        widths = [1]
-    cut = runs(passages, LETTER, [pid], text)
-    # The run at j and the 2k - 2 behind it: k words and what is between them.
-    grams = [F.expr(f"transform(runs, (r, j) -> if(j + {2 * k - 1} <= size(runs), array_join(slice(runs, j + 1, {2 * k - 1}), ''), null))").alias(f"g{k}") for k in widths]
-    zipped = cut.select(pid, "starts", *grams).select(pid, F.explode(F.arrays_zip("starts", *[f"g{k}" for k in widths])).alias("x"))
-    first = zipped.filter(F.col(f"x.g{widths[0]}").rlike(f"^[{LETTER}]"))
-    each = first.select(pid, F.col("x.starts").alias("start"), F.explode(F.array(*[F.col(f"x.g{k}") for k in widths])).alias("__gram")).filter(F.col("__gram").isNotNull())
+    listed = materialize(listed.filter(F.col("surface").rlike(f"^[{LETTER}]") & F.col("surface").rlike(rf"[{LETTER}]\z")), "surfaces")
+    widths = sorted(r["k"] for r in listed.select(F.regexp_count("surface", F.lit(f"[{LETTER}]+")).alias("k")).distinct().collect())
+    each = cuts.places(passages, cuts.listed_bits(listed), widths, pid, text).withColumnRenamed("gram", "__gram")
     met = each.join(listed, (F.lower("__gram") == F.lower("surface")) & (F.col("any_case") | (F.col("__gram") == F.col("surface"))))
     return met.withColumn("end", F.col("start") + F.length("__gram")).withColumn("surface", F.col("__gram")).drop("__gram")
 
@@ -160,9 +166,7 @@ def match(predictions: DataFrame, gold: DataFrame, regime: str = "overlap", pid:
     if regime == "exact":
         keys = [pid, "start", "end", *named]
         both = predictions.select(*keys, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(gold.select(*keys, F.lit(0).alias("p"), F.lit(1).alias("g")))
-        same = both.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("g").alias("g")).withColumn("tp", F.least("p", "g"))
-        sums = same.groupBy(pid).agg(*[F.sum(c).alias(c) for c in ("tp", "p", "g")])
-        return sums.select(pid, "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"))
+        return match_marked(both, keys, [pid])
     rows = by_island(pid, p=predictions.select(pid, "start", "end", *named), g=gold.select(pid, "start", "end", *named))
     shared = "greatest(0, least(g[i].`end`, x.`end`) - greatest(g[i].start, x.start))"
     score = shared if regime == "overlap" else f"least(1, {shared})"
@@ -177,6 +181,13 @@ def match(predictions: DataFrame, gold: DataFrame, regime: str = "overlap", pid:
     return sums.select(pid, "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"))
 
 
+def match_marked(spans: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``by``, tp, fp, fn by equality of ``keys``; spans carry ``p`` and ``g``, 1 where the prediction or the reference has them, else 0."""
+    same = spans.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("g").alias("g")).withColumn("tp", F.least("p", "g"))
+    sums = same.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "p", "g")])
+    return sums.select(*by, "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"))
+
+
 def unmatched(predictions: DataFrame, gold: DataFrame, pid: str = "pid", label: bool = True) -> DataFrame:
     """side (``missed`` or ``spurious``), pid, start, end, label of spans without a partner of equal offsets (and label).
 

@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from marginalia.operators import affectpanel as P, evaluate as E, journeys as J, narrative as N, resources as X, spans as S
 from marginalia.plans.evaluation import PRF, TRIPS, rule_affect, trips
 from marginalia.plans.registry import EVERY_VOTER, ORACLES, SQL_VOTES, TOKENS, VOTERS, gazetteer, query, turns, voters, votes
+from marginalia.scratch import materialize
 from marginalia.sources.markup import offsets_of
 from marginalia.tables import table
 
 
-def phrases_and_gold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """What the layered gazetteer finds in documents, and long words as references of the same two labels."""
+def phrases_and_gold(spark: SparkSession, d: str) -> DataFrame:
+    """What the layered gazetteer finds in documents (``p`` is 1), and long words as references of the same two labels (``g``)."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text")
+    listed = materialize(gazetteer(spark, d), "gazetteer")
     label = F.when(F.length("word") % 2 == 0, "TERM").otherwise("PHRASE")
-    gold = S.tokens(docs).filter(F.length("word") >= 6).select("pid", "start", "end", label.alias("label"))
-    return S.gazetteer_spans(docs, gazetteer(spark, d)), gold
+    # A word that is no surface is no find: it is counted where it stands, under keys that are null.
+    keys = [F.when(F.col("listed"), F.col(c)).alias(c) for c in ("pid", "start", "end")]
+    gold = S.tokens_listed(docs, listed).filter(F.length("word") >= 6).select(*keys, label.alias("label"), F.lit(0).alias("p"), F.lit(1).alias("g"))
+    found = S.gazetteer_spans(docs, listed).select("pid", "start", "end", "label", F.lit(1).alias("p"), F.lit(0).alias("g"))
+    return found.unionByName(gold)
 
 
 FOUND = ORACLES["gazetteer_match"].replace("SELECT *, 'PHRASE' AS label FROM pick", ", found AS (SELECT *, 'PHRASE' AS label FROM pick", 1) + "), gold AS (SELECT pid, start, \"end\", CASE WHEN length(word) % 2 = 0 THEN 'TERM' ELSE 'PHRASE' END AS label FROM tk WHERE length(word) >= 6)"
@@ -27,17 +32,15 @@ FOUND = ORACLES["gazetteer_match"].replace("SELECT *, 'PHRASE' AS label FROM pic
 s AS (SELECT label, CAST(sum(least(p, g)) AS BIGINT) AS tp, CAST(sum(p - least(p, g)) AS BIGINT) AS fp, CAST(sum(g - least(p, g)) AS BIGINT) AS fn FROM k GROUP BY 1) SELECT *, """ + PRF + " FROM s")
 def rules_by_label(spark, d):
     """The gazetteer run as a method, scored by label."""
-    found, gold = phrases_and_gold(spark, d)
-    each = [S.match(found.filter(F.col("label") == x), gold.filter(F.col("label") == x), "exact").withColumn("label", F.lit(x)) for x in ("TERM", "PHRASE")]
-    return S.scores(each[0].unionByName(each[1]), "label")
+    counts = S.match_marked(phrases_and_gold(spark, d), ["pid", "start", "end", "label"], ["label"])
+    return S.scores(counts, "label")
 
 
 @query(FOUND + """, a AS (SELECT pid, start, "end" FROM found WHERE label = 'TERM'), b AS (SELECT pid, start, "end" FROM gold WHERE label = 'TERM'), s AS (SELECT (SELECT count(*) FROM a JOIN b USING (pid, start, "end")) AS tp, (SELECT count(*) FROM a) AS n, (SELECT count(*) FROM b) AS m)
 SELECT tp, fp, fn, """ + PRF + " FROM (SELECT tp, n - tp AS fp, m - tp AS fn FROM s)")
 def rules_one_label(spark, d):
     """One label alone, over the references of that label."""
-    found, gold = phrases_and_gold(spark, d)
-    return S.scores(S.match(found.filter("label = 'TERM'"), gold.filter("label = 'TERM'"), "exact"))
+    return S.scores(S.match_marked(phrases_and_gold(spark, d).filter("label = 'TERM'"), ["pid", "start", "end"], []))
 
 
 @query("""WITH r AS (SELECT lang, doc_id % 7 AS grp, count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 0 AND toxic = 1) AS fn, count(*) FILTER (quality = 1) / CAST(count(*) AS DOUBLE) AS coverage FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)

@@ -139,15 +139,13 @@ def stratum_quotas(spark, d):
 
 @query(DOC_TOKENS + " SELECT lower(word) AS term, CAST(count(DISTINCT pid) AS BIGINT) AS df FROM tk GROUP BY 1 HAVING count(DISTINCT pid) >= 3")
 def gazetteer_build(spark, d):
-    words = S.tokens(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"))
-    return S.build_gazetteer(words)
+    return S.gazetteer_of_texts(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"))
 
 
 def gazetteer(spark: SparkSession, d: str) -> DataFrame:
     """Surfaces of two layers: the first two words of benchmark items as they are written, rare words of documents in any case."""
     items = table(spark, d, "benchmark").select(F.regexp_extract("text", rf"[{T.LETTER}]+ [{T.LETTER}]+", 0).alias("surface")).filter(F.length("surface") > 0).distinct()
-    words = S.tokens(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"))
-    rare = S.build_gazetteer(words, least=20, most=60).filter(F.col("term").rlike(rf"^[{T.LETTER}]+$")).select(F.col("term").alias("surface"), F.lit("TERM").alias("label"), F.lit(True).alias("any_case"))
+    rare = S.gazetteer_of_texts(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"), least=20, most=60).filter(F.col("term").rlike(rf"^[{T.LETTER}]+$")).select(F.col("term").alias("surface"), F.lit("TERM").alias("label"), F.lit(True).alias("any_case"))
     return items.select("surface", F.lit("PHRASE").alias("label"), F.lit(False).alias("any_case")).unionByName(rare)
 
 

@@ -1,6 +1,7 @@
 """Span, vote and record operators against plain Python on small cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -253,3 +254,36 @@ def test_dawid_skene_without_patterns_on_the_driver(spark):
     assert a.keys() == b.keys() and len(a) == 4 * len({r[0] for r in rows}) and max(abs(a[k] - b[k]) for k in a) < 1e-9
     for i in {r[0] for r in rows}:
         assert abs(sum(a[i, x] for x in ("A", "B", "C", "REJECT")) - 1) < 1e-9
+
+
+def test_words_in_batches(spark, monkeypatch):
+    """Cutting does not depend on slices, and words are those of Python at odd characters."""
+    from marginalia.operators import cuts
+
+    texts = ["", "a  b İ c", "é😀 x\x85y", " ", "Σας ΟΔΟΣ z", "d", "　", "end e_1-f"]
+    for size in (1, 8, 1 << 20):
+        monkeypatch.setattr(cuts, "SLICE", size)
+        got, rows = [], 0
+        for first, part in cuts.slices(cuts.pa.array([*texts[:3], None, *texts[3:]])):
+            whole, row, starts, ends, firsts = cuts.cut(part, letters=False)
+            got += [(first + r, a - f, w) for r, a, f, w in zip(row.tolist(), starts.tolist(), firsts[row].tolist(), cuts.strings(whole, starts, ends).to_pylist(), strict=True)]
+            rows += len(part)
+        assert rows == len(texts) + 1
+        assert got == [(k + (k > 2), m.start(), m[0]) for k, t in enumerate(texts) for m in re.finditer(r"\S+", t)]
+
+
+def test_surfaces_are_found_whatever_the_filter_makes_of_their_case(spark):
+    text = "İl ve ΟΔΟΣ, the straße a b a b"
+    passages = spark.createDataFrame([(1, text)], "pid int, text string")
+    listed = spark.createDataFrame([("i̇l", True), ("οδος", True), ("STRASSE", True), ("a b", False), ("A B", False)], "surface string, any_case boolean")
+    assert sorted((r["start"], r["surface"]) for r in S.surface_hits(passages, listed).collect()) == [(0, "İl"), (6, "ΟΔΟΣ"), (23, "a b"), (27, "a b")]
+
+
+def test_word_counts_of_whole_texts(spark):
+    """Passages that share an id count once, a null one not at all, and neither is shuffled by word where ids are single."""
+    docs = spark.createDataFrame([(1, "One one two"), (1, "two three"), (2, "ONE two"), (None, "one"), (3, None)], "pid int, text string")
+    got = {r["term"]: r["df"] for r in S.gazetteer_of_texts(docs, least=1).collect()}
+    assert got == {"one": 2, "two": 2, "three": 1}
+    single = docs.filter("text <> 'two three'")
+    plan = S.gazetteer_of_texts(single, least=1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and {r["term"]: r["df"] for r in S.gazetteer_of_texts(single, least=1).collect()} == {"one": 2, "two": 2}
