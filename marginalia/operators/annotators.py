@@ -80,8 +80,8 @@ def without(spans: DataFrame, excluded: DataFrame, pid: str = "pid") -> DataFram
 
 
 def snapped(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """Offsets moved outwards to the ends of the words that they cut."""
-    before = F.length(F.regexp_extract(F.substring(text, F.lit(1), start), r"[\p{L}\p{N}]*$", 0))
+    """Offsets moved outwards to the ends of the words that they cut; ``$`` would also match before a last line break."""
+    before = F.length(F.regexp_extract(F.substring(text, F.lit(1), start), r"[\p{L}\p{N}]*\z", 0))
     after = F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^[\p{L}\p{N}]*", 0))
     cut = lambda at: F.substring(text, at, F.lit(1)).rlike(r"[\p{L}\p{N}]")
     return F.when(cut(start + 1), start - before).otherwise(start), F.when(cut(end), end + after).otherwise(end)
