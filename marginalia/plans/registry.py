@@ -203,8 +203,9 @@ SELECT lang, tp, fp, fn, round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0),
 def prf_by_language(spark, d):
     """Two annotators over documents, one scored against the other, by language."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "lang", "text")
-    words = S.tokens(docs)
-    counts = S.match(words.filter(F.col("word").rlike(CAPITAL)), words.filter(F.length("word") >= 9), "exact")
+    marks = {"p": F.col("word").rlike(CAPITAL).cast("int"), "g": (F.length("word") >= 9).cast("int")}
+    words = S.tokens(docs).select("pid", "start", "end", *[m.alias(c) for c, m in marks.items()]).filter("p + g > 0")
+    counts = S.match_marked(words.repartition("pid"), ["pid", "start", "end"], ["pid"])
     return S.scores(counts.join(docs.select("pid", "lang"), "pid"), "lang")
 
 
