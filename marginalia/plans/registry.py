@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import geo, text as T
-from marginalia.operators import records as R, spans as S, votes as V
+from marginalia.operators import cuts, records as R, spans as S, votes as V
 from marginalia.streaming import jobs
 from marginalia.tables import table
 
@@ -425,7 +425,7 @@ SELECT item_id, CAST(count(*) AS BIGINT) AS shingles, CAST(count(sh.s) AS BIGINT
 def leakage_check(spark, d):
     """Benchmark items of whose five-word runs four in five stand in some document."""
     items = R.shingles(table(spark, d, "benchmark").select("item_id", "text"), "item_id")
-    held = R.shingles(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("shingle")
+    held = cuts.runs_of_words(table(spark, d, "documents").select("doc_id", "text"), "doc_id", 5).select("shingle")
     return R.contained(items, held, "item_id")
 
 
