@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import annotators as A, evaluate as E, narrative as N, records as R, spans as S, votes as V
+from marginalia.operators import annotators as A, cuts, evaluate as E, narrative as N, records as R, spans as S, votes as V
 from marginalia.plans.registry import CAPITAL, DOC_TOKENS, EVERY_VOTER, SQL_SENTENCES, SQL_VOTES, TOKENS, VOTERS, query, turns, voters, votes
 from marginalia.sources import catalogue as C
 from marginalia.tables import table
@@ -146,7 +146,7 @@ SELECT term, CASE WHEN length(term) <= 3 THEN 'short' WHEN term IN ('roofer', 'b
  WHEN regexp_matches(term, '(keeper|wright|smith|monger|maker|ist|man|men)$') AND NOT contains(term, ' ') THEN 'person' END AS risk FROM g""")
 def risky_terms(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text")
-    terms = S.tokens(docs).select(F.lower("word").alias("term")).distinct()
+    terms = cuts.terms(docs).select("term").distinct()
     return terms.select("term", T.risky_term(F.col("term")).alias("risk"))
 
 
