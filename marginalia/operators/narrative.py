@@ -34,18 +34,25 @@ def journeys(sentences: DataFrame) -> DataFrame:
 def affect_by_lexicon(words: DataFrame, lexicon: DataFrame, negators: tuple[str, ...] = ("no", "not", "never", "without")) -> DataFrame:
     """pid, sentiment, positive, negative, matched: lexicon hits with the two words before as scope of a negator.
 
-    words: pid, pos, word; lexicon: term, polarity (positive, negative).
+    words: pid, pos, word, and perhaps ``before1`` and ``before2``, the words
+    before each, without which a passage's words are sorted; lexicon: term,
+    polarity (positive, negative).  A passage's hits are counted where they are
+    found, by term, and only those counts are shuffled.
     """
-    folded = F.lower(F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    order = Window.partitionBy("pid").orderBy("pos")
-    rows = words.withColumn("term", folded)
-    near = F.coalesce(F.lag("term", 1).over(order).isin(*negators), F.lit(False)) | F.coalesce(F.lag("term", 2).over(order).isin(*negators), F.lit(False))
-    hits = rows.withColumn("negated", near).join(lexicon, "term", "left")
-    positive = ((F.col("polarity") == "positive") & ~F.col("negated")) | ((F.col("polarity") == "negative") & F.col("negated"))
-    sums = hits.groupBy("pid").agg(
-        F.count_if(F.col("polarity").isNotNull() & positive).alias("positive"),
-        F.count_if(F.col("polarity").isNotNull() & ~positive).alias("negative"),
-        F.array_sort(F.collect_set(F.when(F.col("polarity").isNotNull(), F.col("term")))).alias("matched"),
+    folded = lambda c: F.lower(F.regexp_replace(c, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+    if "before1" not in words.columns:
+        order = Window.partitionBy("pid").orderBy("pos")
+        words = words.withColumns({f"before{k}": F.lag("word", k).over(order) for k in (1, 2)})
+    rows = words.withColumn("term", folded("word")).join(lexicon, "term", "left")
+    near = F.coalesce(folded("before1").isin(*negators), F.lit(False)) | F.coalesce(folded("before2").isin(*negators), F.lit(False))
+    known = F.col("polarity").isNotNull()
+    positive = ((F.col("polarity") == "positive") & ~near) | ((F.col("polarity") == "negative") & near)
+    hits = rows.select("pid", F.when(known, F.col("term")).alias("term"), F.when(known, positive).alias("positive"))
+    counted = hits.groupBy("pid", "term", "positive").agg(F.count("*").alias("n"))
+    sums = counted.groupBy("pid").agg(
+        F.coalesce(F.sum(F.when(F.col("positive"), F.col("n"))), F.lit(0)).alias("positive"),
+        F.coalesce(F.sum(F.when(~F.col("positive"), F.col("n"))), F.lit(0)).alias("negative"),
+        F.array_sort(F.collect_set("term")).alias("matched"),
     )
     p, n = F.col("positive"), F.col("negative")
     label = F.when((p > 0) & (p == n), "mixed").when(p > n, "positive").when(n > p, "negative").otherwise("neutral")

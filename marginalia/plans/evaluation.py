@@ -237,7 +237,7 @@ SELECT *, CASE WHEN positive > 0 AND positive = negative THEN 'mixed' WHEN posit
 def rule_affect(spark, d):
     """Frequent words stand in for a lexicon, others for its negators."""
     lexicon = spark.createDataFrame(LEXICON, "term string, polarity string")
-    words = S.tokens(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"))
+    words = S.tokens(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"), before=2)
     return N.affect_by_lexicon(words, lexicon, ("in", "de", "no", "der")).withColumn("matched", F.array_join("matched", ","))
 
 
