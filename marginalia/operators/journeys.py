@@ -48,6 +48,15 @@ def checked(records: DataFrame, passages: DataFrame, pid: str = "pid") -> DataFr
     return rows.withColumn("confidence", F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0))).withColumn("statuses", known).drop("__text")
 
 
+def dealt(passages: DataFrame, pid: str = "pid", rows: int = 100_000) -> DataFrame:
+    """The passages in so many partitions by ``pid`` that each has about ``rows`` of them, whatever their number.
+
+    What follows by ``pid`` stays in these partitions, so a task's sorts do not grow with the table.
+    """
+    least = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return passages.repartition(max(least, -(-passages.count() // rows)), pid)
+
+
 def keyed(journeys: DataFrame, transport: dict[str, str] = TRANSPORT) -> DataFrame:
     """Every field folded for comparison: white space, case, names of transport."""
     return journeys.withColumns({f: match_key(F.col(f), transport if f == "transport_mode" else None) for f in FIELDS if f in journeys.columns})

@@ -58,7 +58,7 @@ def comparison_rows(spark, d):
 
 def journey_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Journeys that rules read from one-sentence passages, and what the sentences were made from."""
-    made = trips(spark, d).withColumn("pid", F.col("ord"))
+    made = J.dealt(trips(spark, d).withColumn("pid", F.col("ord")))
     k = F.col("pid")
     absent = F.lit(None).cast("string")
     whole = [F.lit(0).alias("evidence_start"), F.length("text").alias("evidence_end")]
