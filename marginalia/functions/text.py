@@ -11,7 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space, and letters with digits and the underscore, inside a character class.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -58,14 +58,19 @@ def sentences(rows, keep: list[str], text: str = "text", strict: bool = False):
     that its closing quote, or else one white-space character, is part of it.
     ``strict`` does neither.  A null or empty text has no sentence.
     """
+    whole = sentence_texts(rows, keep, text, strict).withColumn("__starts", running("__sizes"))
+    each = whole.select(*keep, F.posexplode(F.arrays_zip("__starts", "__texts")).alias("ord", "__x"))
+    placed = each.select(*keep, "ord", F.col("__x.__starts").alias("start"), (F.col("__x.__starts") + F.length("__x.__texts")).alias("end"), F.col("__x.__texts").alias("sentence"))
+    return placed.filter(F.length("sentence") > 0)
+
+
+def sentence_texts(rows, keep: list[str], text: str = "text", strict: bool = False):
+    """``keep``, and of :func:`sentences` in order the texts, empty ones too (``__texts``), and sizes with what parts them (``__sizes``)."""
     pattern = _STRICT if strict else _BREAK
     cut = rows.select(*keep, F.split(text, pattern, -1).alias("__parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("__breaks"))
     sized = cut.withColumn("__sizes", F.expr("transform(__parts, (p, i) -> length(p) + coalesce(length(get(__breaks, i)), 0))"))
     tail = "''" if strict else "substring(coalesce(get(__breaks, i), ''), 1, 1)"
-    whole = sized.withColumn("__starts", running("__sizes")).withColumn("__texts", F.expr(f"transform(__parts, (p, i) -> concat(p, {tail}))"))
-    each = whole.select(*keep, F.posexplode(F.arrays_zip("__starts", "__texts")).alias("ord", "__x"))
-    placed = each.select(*keep, "ord", F.col("__x.__starts").alias("start"), (F.col("__x.__starts") + F.length("__x.__texts")).alias("end"), F.col("__x.__texts").alias("sentence"))
-    return placed.filter(F.length("sentence") > 0)
+    return sized.select(*keep, F.expr(f"transform(__parts, (p, i) -> concat(p, {tail}))").alias("__texts"), "__sizes")
 
 
 def dedupe_key(text: Column) -> Column:
@@ -116,23 +121,26 @@ def plural(term: Column) -> Column:
     )
 
 
+_FOLDS = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"'} | {chr(c): "-" for c in range(0x2010, 0x2016)})
+
+
+def folded_text(s: str | None) -> str | None:
+    """Long s, accents, curly quotes and dashes folded, white space collapsed, lower case."""
+    if s is None:
+        return None
+    if not s.isascii():
+        whole = unicodedata.normalize("NFKD", s.replace("ſ", "s"))
+        s = "".join(c for c in whole if not unicodedata.combining(c)).translate(_FOLDS)
+    return " ".join(s.split()).lower()
+
+
 @F.pandas_udf(StringType())
 def normalised(text: pd.Series) -> pd.Series:
-    """Long s, accents, curly quotes and dashes folded, white space collapsed, lower case.
+    """:func:`folded_text` of a column.
 
     Compatibility decomposition has no built-in counterpart; plain ASCII skips it.
     """
-    folds = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"'} | {chr(c): "-" for c in range(0x2010, 0x2016)})
-
-    def fold(s: str | None) -> str | None:
-        if s is None:
-            return None
-        if not s.isascii():
-            whole = unicodedata.normalize("NFKD", s.replace("ſ", "s"))
-            s = "".join(c for c in whole if not unicodedata.combining(c)).translate(folds)
-        return " ".join(s.split()).lower()
-
-    return text.map(fold)
+    return text.map(folded_text)
 
 
 def unfenced(text: Column) -> Column:
@@ -140,11 +148,24 @@ def unfenced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 
-def miss_reason(quote: Column, passage: Column) -> Column:
-    """Why a quote was not grounded, from the mildest cause to the worst."""
-    bare = F.regexp_replace(quote, r"""^[ .,;:'"]+|[ .,;:'"]+$""", "")
+@F.pandas_udf(ArrayType(StringType()))
+def all_normalised(texts: pd.Series) -> pd.Series:
+    """:func:`normalised` of each text of an array."""
+    return texts.map(lambda xs: None if xs is None else [folded_text(x) for x in xs])
+
+
+def miss_reason(quote: Column, passage: Column, folded_quote: Column | None = None, folded_passage: Column | None = None) -> Column:
+    """Why a quote was not grounded, from the mildest cause to the worst.
+
+    Folded texts (:func:`normalised`) may be given, where a passage has many quotes.
+    """
+    bare = F.regexp_replace(quote, r"""^[ .,;:'"]+|[ .,;:'"]+\z""", "")
     words = F.filter(F.split(quote, f"[{SPACE}]+"), lambda w: F.length(w) > 0)
-    folded = F.contains(normalised(passage), normalised(quote))
+    if folded_quote is None or folded_passage is None:
+        folded_quote, folded_passage = normalised(quote), normalised(passage)
+    folded = F.contains(folded_passage, folded_quote)
+    # Only a word that is no word of the passage is searched for, so long quotes cost no square.
+    other = F.array_except(words, F.split(passage, f"[{SPACE}]+"))
     plain = F.contains(F.translate(passage, "ſ", "s"), F.translate(quote, "ſ", "s"))
     return (
         F.when(F.length(F.coalesce(quote, F.lit(""))) == 0, "empty")
@@ -152,7 +173,7 @@ def miss_reason(quote: Column, passage: Column) -> Column:
         .when(folded & F.contains(passage, F.lit("ſ")) & plain, "long_s_normalised")
         .when(folded, "other_normalisation")
         .when((F.length(bare) > 0) & F.contains(passage, bare), "whitespace_or_punctuation")
-        .when((F.size(words) > 0) & F.forall(words, lambda w: F.contains(passage, w)), "words_present_reordered_or_gapped")
+        .when((F.size(words) > 0) & F.forall(other, lambda w: F.contains(passage, w)), "words_present_reordered_or_gapped")
         .otherwise("not_in_passage_at_all")
     )
 

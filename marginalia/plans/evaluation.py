@@ -131,14 +131,21 @@ SELECT doc_id, reason, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1, 2""")
 def miss_reasons(spark, d):
     """The first and the last sentence of each document, changed in seven ways, looked for in the whole text."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    each = T.sentences(docs, ["doc_id"])
-    ends = each.groupBy("doc_id").agg(F.max("ord").alias("last"))
-    s = F.trim(F.regexp_replace("sentence", f"[{T.SPACE}]+", " "))
-    picked = each.join(ends, "doc_id").filter((F.col("ord") == 0) | (F.col("ord") == F.col("last"))).select("doc_id", s.alias("s"))
-    x = F.col("s")
-    made = F.array(x, F.replace(x, F.lit(" "), F.lit("  ")), F.replace(x, F.lit(" "), F.lit("")), F.array_join(F.reverse(F.split(x, " ")), " "), F.concat(x, F.lit("!")), F.concat(F.lit("zq "), x), F.translate(x, string.ascii_lowercase, string.ascii_uppercase), F.lit(""))
-    quotes = picked.select("doc_id", F.explode(made).alias("quote")).join(docs, "doc_id")
-    return quotes.groupBy("doc_id", T.miss_reason(F.col("quote"), F.col("text")).alias("reason")).agg(F.count("*").alias("n"))
+    cut = T.sentence_texts(docs, ["doc_id", "text"])
+    numbered = F.filter(F.transform("__texts", lambda x, i: F.struct(i.alias("ord"), x.alias("s"))), lambda x: F.length(x["s"]) > 0)
+    last = F.element_at("numbered", -1)["ord"]
+    ends = cut.select("doc_id", "text", numbered.alias("numbered")).filter(F.size("numbered") > 0).select("doc_id", "text", F.filter("numbered", lambda x: (x["ord"] == 0) | (x["ord"] == last)).alias("ends"))
+
+    def made(s):
+        x = F.trim(F.regexp_replace(s, f"[{T.SPACE}]+", " "))
+        backwards = F.array_join(F.reverse(F.split(x, " ")), " ")
+        return F.array(x, F.replace(x, F.lit(" "), F.lit("  ")), F.replace(x, F.lit(" "), F.lit("")), backwards, F.concat(x, F.lit("!")), F.concat(F.lit("zq "), x), F.translate(x, string.ascii_lowercase, string.ascii_uppercase), F.lit(""))
+
+    # A text is folded once for all its quotes, which stay in its row.
+    quotes = ends.select("doc_id", "text", F.flatten(F.transform("ends", lambda x: made(x["s"]))).alias("quote"))
+    folded = quotes.select("*", T.all_normalised("quote").alias("own"), T.normalised("text").alias("whole"))
+    reason = F.transform(F.arrays_zip("quote", "own"), lambda q: T.miss_reason(q["quote"], F.col("text"), q["own"], F.col("whole")))
+    return folded.select("doc_id", F.explode(reason).alias("reason")).groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
 
 
 @query(DOC_TOKENS + r""", g AS (SELECT DISTINCT lower(word) AS term FROM tk)
