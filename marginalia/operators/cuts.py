@@ -7,22 +7,30 @@ leaves at once, so a worker holds a slice whatever the table's size.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - pa.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Bytes of text that are cut together; a longer text is a slice of its own.
 SLICE = 2 << 20
-#: Bits of the filter of listed surfaces: 4 MB whatever their number.
+#: Bits of a filter (of listed surfaces, of shared ids): 4 MB whatever their number.
 BITS = 1 << 25
+#: Words that a worker counts at a time before it passes their counts on.
+HELD = 1 << 19
+#: Words of a row of counts.
+ROW = 1 << 12
+#: Has a character whose lower case may depend on its neighbours, be two characters, or differ between Python's and Spark's tables.
+DOUBTFUL = re.compile("[^\x00-\u012f\u0131-\u03a2\u03a4-\u109f\u2000-\u20ff\u2190-\u245f\u2500-\u2bff\u3000-\u9fff\uac00-\ud7a3\ue000-\uf8ff\ufe00-\ufeff\ufff0-\uffff\U0001f000-\U0001faff]")
 
 
 @functools.cache
@@ -134,6 +142,52 @@ def terms(passages: DataFrame, pid: str = "pid", text: str = "text") -> DataFram
     return each.select(pid, F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term"))
 
 
+def term_counts(passages: DataFrame, pid: str = "pid", text: str = "text", apart: np.ndarray | None = None) -> DataFrame:
+    """pid, term, n: in how many texts the lower-case words stand, added up in the worker over texts that follow one another.
+
+    ``pid`` is null there.  Ids that the filter ``apart`` (of :func:`id_bits`)
+    has keep theirs: a row for each word of each of their texts.
+    """
+    kind = StructType([passages.schema[pid], StructField("words", ArrayType(StringType())), StructField("ns", ArrayType(LongType()))])
+    kind[0].nullable = True
+    names = [f.name for f in kind]
+
+    def added_up(held: Counter, ids: pa.DataType) -> pa.RecordBatch:
+        offsets = pa.array([*range(0, len(held), ROW), len(held)], pa.int32())
+        words, ns = (pa.ListArray.from_arrays(offsets, pa.array(list(x), t)) for x, t in ((held.keys(), pa.string()), (held.values(), pa.int64())))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(words), ids), words, ns], names=names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        ids = None
+        for batch in batches:
+            ids = batch.column(0).type
+            own = np.zeros(len(batch), bool) if apart is None else has(apart, batch.column(2).to_numpy())
+            for first, texts in slices(batch.column(1)):
+                # What is not added up leaves as it is written: Spark lowers it and makes it single within its row.
+                rows = []
+                for i, t in enumerate(texts):
+                    if own[first + i] or (not t.isascii() and DOUBTFUL.search(t)):
+                        rows.append(i)
+                    else:
+                        held.update(set(t.lower().split()))  # str.split() parts at the same white space
+                        if len(held) > HELD:
+                            yield added_up(held, ids)
+                            held.clear()
+                if rows:
+                    at = np.array(rows)
+                    words = pa.array([list(dict.fromkeys(texts[i].split())) for i in rows], pa.list_(pa.string()))
+                    keys = batch.column(0).take(pa.array(at + first, pa.int64(), mask=~own[at + first]))
+                    yield pa.RecordBatch.from_arrays([keys, words, pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
+        if held:
+            yield added_up(held, ids)
+
+    each = passages.select(pid, text, *([] if apart is None else [id_spot(pid).alias("__at")])).mapInArrow(read, kind)
+    once = F.transform(F.array_distinct(F.transform("words", F.lower)), lambda w: F.struct(w.alias("term"), F.lit(1).cast("long").alias("n")))
+    counted = F.transform(F.arrays_zip("words", "ns"), lambda x: F.struct(x["words"].alias("term"), x["ns"].alias("n")))
+    return each.select(pid, F.inline(F.when(F.col("ns").isNull(), once).otherwise(counted)))
+
+
 def runs_of_words(passages: DataFrame, key: str, width: int, text: str = "text") -> DataFrame:
     """key, shingle: the distinct runs of ``width`` words of each text, one space between; each once in its row."""
     kind = StructType([passages.schema[key], StructField("shingle", StringType())])
@@ -164,7 +218,22 @@ def placed(surfaces: pd.Series) -> pd.Series:
 
 def listed_bits(surfaces: DataFrame) -> np.ndarray:
     """The filter of column ``surface``, a bit for each; it is made where they are, and at most 4 MB reach the driver."""
-    at = surfaces.select((placed("surface") + 1).alias("at"))  # bitmap functions count from 1
+    return filter_of(surfaces, placed("surface"))
+
+
+def id_spot(pid: str) -> Column:
+    """An id's bit in the filter."""
+    return F.pmod(F.xxhash64(pid), F.lit(BITS))
+
+
+def id_bits(ids: DataFrame, pid: str) -> np.ndarray | None:
+    """The same of ids of any kind; none if there is no id."""
+    bits = filter_of(ids, id_spot(pid))
+    return bits if bits.any() else None
+
+
+def filter_of(rows: DataFrame, spot: Column) -> np.ndarray:
+    at = rows.select((spot + 1).alias("at"))  # bitmap functions count from 1
     parts = at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros(BITS // 8, np.uint8)
     for r in parts:
@@ -173,6 +242,11 @@ def listed_bits(surfaces: DataFrame) -> np.ndarray:
     return out
 
 
+def has(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Whether the filter has each bit."""
+    return (bits[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def let_through(whole: str, starts: np.ndarray, ends: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether the filter has the bit of each piece from start to end."""
     low = whole.lower().replace("ς", "σ")
@@ -182,8 +256,7 @@ def let_through(whole: str, starts: np.ndarray, ends: np.ndarray, bits: np.ndarr
         found = [zlib.crc32(raw[a:b]) for a, b in zip(at[starts].tolist(), at[ends].tolist(), strict=True)]
     else:  # a letter that is two in lower case
         found = [place(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    bit = np.array(found, np.int64) % BITS
-    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+    return has(bits, np.array(found, np.int64) % BITS)
 
 
 def places(passages: DataFrame, bits: np.ndarray, widths: list[int], pid: str, text: str) -> DataFrame:

@@ -38,17 +38,23 @@ def build_gazetteer(words: DataFrame, pid: str = "pid", least: int = 3, most: in
 
 
 def gazetteer_of_texts(passages: DataFrame, pid: str = "pid", text: str = "text", least: int = 3, most: int | None = None) -> DataFrame:
-    """The same of whole texts: a word is made single within its row, so only counts are shuffled.
+    """The same of whole texts: a word is made single within its row and counted in the worker, so only counts are shuffled.
 
-    Where passages share an id (that is counted first), (id, word) pairs are made single by a shuffle.
+    Of passages that share an id (a filter of fixed size has these ids) the (id, word) pairs are made single by a shuffle.
     """
-    once = cuts.terms(passages.filter(F.col(pid).isNotNull()), pid, text)
-    shared = not passages.filter(F.col(pid).isNotNull()).groupBy(pid).count().filter("count > 1").isEmpty()
-    return _frequent(once.distinct() if shared else once, pid, least, most)
+    named = passages.filter(F.col(pid).isNotNull())
+    shared = cuts.id_bits(named.groupBy(pid).count().filter("count > 1"), pid)
+    counts = cuts.term_counts(named, pid, text, shared)
+    if shared is not None:
+        counts = counts.groupBy(pid, "term").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col(pid).isNull(), F.col("n")).otherwise(1))
+    return _at_least(counts.groupBy("term").agg(F.sum("n").alias("df")), least, most)
 
 
 def _frequent(once: DataFrame, pid: str, least: int, most: int | None) -> DataFrame:
-    counted = once.groupBy("term").agg(F.count(pid).alias("df"))
+    return _at_least(once.groupBy("term").agg(F.count(pid).alias("df")), least, most)
+
+
+def _at_least(counted: DataFrame, least: int, most: int | None) -> DataFrame:
     kept = counted.filter(F.col("df") >= least)
     return kept if most is None else kept.filter(F.col("df") <= most)
 

@@ -146,7 +146,7 @@ SELECT term, CASE WHEN length(term) <= 3 THEN 'short' WHEN term IN ('roofer', 'b
  WHEN regexp_matches(term, '(keeper|wright|smith|monger|maker|ist|man|men)$') AND NOT contains(term, ' ') THEN 'person' END AS risk FROM g""")
 def risky_terms(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text")
-    terms = cuts.terms(docs).select("term").distinct()
+    terms = cuts.term_counts(docs).select("term").distinct()
     return terms.select("term", T.risky_term(F.col("term")).alias("risk"))
 
 
