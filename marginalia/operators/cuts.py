@@ -9,7 +9,6 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -120,7 +119,7 @@ def tokens(passages: DataFrame, pid: str, text: str, before: int = 0, bits: np.n
                 words = strings(whole, starts, ends)
                 nearest = [words.take(pa.array(np.arange(len(row)) - k, pa.int64(), mask=pos < k)) for k in range(1, before + 1)]
                 own = [pa.array(x.astype(np.int32)) for x in (pos, starts - firsts[row], ends - firsts[row])]
-                passed = [] if bits is None else [pa.array(let_through(whole, starts, ends, bits))]
+                passed = [] if bits is None else [pa.array(Pieces(whole).let_through(starts, ends, bits))]
                 columns = [batch.column(0).take(pa.array(row + first)), *own, words, *nearest, *passed]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kind])
 
@@ -206,14 +205,54 @@ def runs_of_words(passages: DataFrame, key: str, width: int, text: str = "text")
     return passages.select(key, text).mapInArrow(read, kind)
 
 
-def place(surface: str) -> int:
-    """A surface's bit in the filter; surfaces that are equal in lower case share it."""
-    return zlib.crc32(surface.lower().replace("ς", "σ").encode()) % BITS
+@functools.cache
+def folded() -> np.ndarray:
+    """By code point: its lower case; both small sigmas are one."""
+    out = np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(0x110000))), np.uint64, 0x110000)
+    out[ord("ς")] = ord("σ")
+    return out
+
+
+@functools.cache
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    out = np.full((2, size + 1), 1, np.uint64)
+    out[0, 1:], out[1, 1:] = base, pow(base, -1, 1 << 64)
+    return tuple(np.multiply.accumulate(out, axis=1))
+
+
+class Pieces:
+    """Bits in the filter of pieces of a text: a sum over its code points gives each in a few steps, however long it is.
+
+    Pieces that are equal in lower case share their bit.
+    """
+
+    def __init__(self, whole: str):
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        self.up, self.down = powers(SLICE) if len(codes) <= SLICE else powers.__wrapped__(len(codes))
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(folded()[codes] * self.up[: len(codes)], out=self.sums[1:])
+        #: The one letter that is two in lower case.
+        self.double = np.flatnonzero(codes == ord("İ")) if "İ" in whole else None
+
+    def spots(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+
+    def let_through(self, starts: np.ndarray, ends: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Whether the filter has the bit of each piece from start to end; what holds the double letter always passes."""
+        out = has(bits, self.spots(starts, ends))
+        return out if self.double is None else out | (np.searchsorted(self.double, ends) > np.searchsorted(self.double, starts))
 
 
 @F.pandas_udf(LongType())
 def placed(surfaces: pd.Series) -> pd.Series:
-    return surfaces.map(place)
+    texts = [s.replace("İ", "i̇") for s in surfaces]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    return pd.Series(Pieces("".join(texts)).spots(ends - sizes, ends))
 
 
 def listed_bits(surfaces: DataFrame) -> np.ndarray:
@@ -247,18 +286,6 @@ def has(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
     return (bits[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def let_through(whole: str, starts: np.ndarray, ends: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether the filter has the bit of each piece from start to end."""
-    low = whole.lower().replace("ς", "σ")
-    if len(low) == len(whole):
-        raw = low.encode()
-        at = code_points(raw, len(low))
-        found = [zlib.crc32(raw[a:b]) for a, b in zip(at[starts].tolist(), at[ends].tolist(), strict=True)]
-    else:  # a letter that is two in lower case
-        found = [place(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    return has(bits, np.array(found, np.int64) % BITS)
-
-
 def places(passages: DataFrame, bits: np.ndarray, widths: list[int], pid: str, text: str) -> DataFrame:
     """pid, start, gram of the runs of as many words as ``widths`` say that the filter lets through, with what stands between.
 
@@ -270,13 +297,14 @@ def places(passages: DataFrame, bits: np.ndarray, widths: list[int], pid: str, t
         for batch in batches:
             for first, texts in slices(batch.column(1)):
                 whole, row, starts, ends, firsts = cut(texts, letters=True)
+                pieces = Pieces(whole)
                 rows, begins, grams = [], [], []
                 for k in widths:
                     if len(starts) < k:
                         continue
                     one = np.flatnonzero(row[: len(row) - k + 1] == row[k - 1 :])
                     lo, hi = starts[one], ends[one + k - 1]
-                    met = np.flatnonzero(let_through(whole, lo, hi, bits))
+                    met = np.flatnonzero(pieces.let_through(lo, hi, bits))
                     rows.append(row[one[met]])
                     begins.append(lo[met])
                     grams += [whole[a:b] for a, b in zip(lo[met].tolist(), hi[met].tolist(), strict=True)]

@@ -108,13 +108,13 @@ def gazetteer_spans(passages: DataFrame, gazetteer: DataFrame, pid: str = "pid",
     layered = found.select(pid, "start", "end", F.col("any_case").cast("int").alias("layer"), "surface", "label")
     rows = by_island(pid, all=layered)
     fold = """
-      aggregate(array_sort(all, (x, y) -> case when x.layer <> y.layer then x.layer - y.layer when x.start <> y.start then x.start - y.start
+      if(size(all) = 1, all, aggregate(array_sort(all, (x, y) -> case when x.layer <> y.layer then x.layer - y.layer when x.start <> y.start then x.start - y.start
           when x.`end` <> y.`end` then y.`end` - x.`end` when x.label < y.label then -1 when x.label > y.label then 1 else 0 end),
         named_struct('out', slice(all, 1, 0), 'one', 0, 'two', 0),
         (a, s) -> if(s.start < if(s.layer = 0, a.one, a.two), a, named_struct(
           'out', if(exists(a.out, t -> t.layer < s.layer and t.start < s.`end` and s.start < t.`end`), a.out, array_append(a.out, s)),
           'one', if(s.layer = 0, s.`end`, a.one), 'two', if(s.layer = 1, s.`end`, a.two))),
-        a -> a.out)"""
+        a -> a.out))"""
     return rows.select(pid, F.inline(F.expr(fold))).select(pid, "start", "end", "surface", "label")
 
 
